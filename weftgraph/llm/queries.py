@@ -1,8 +1,9 @@
 """Registered queries of the corpus operators, and SQL where it can express one."""
 
-from . import simhash
+from . import ngram_lm, simhash
 
 QUERIES = {
+    "op4_ngram_lm": ngram_lm.op4_ngram_lm,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 
