@@ -1,11 +1,12 @@
 """Registered queries of the corpus operators, and SQL where it can express one."""
 
-from . import byte_bpe, hyperlang, ngram_lm, simhash
+from . import byte_bpe, hyperlang, ngram_lm, simhash, toxic_segments
 
 QUERIES = {
     "op4_ngram_lm": ngram_lm.op4_ngram_lm,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_toxic_segments": toxic_segments.op8_toxic_segments,
     "op9_hyperdimensional_language": hyperlang.op9_hyperdimensional_language,
 }
 
