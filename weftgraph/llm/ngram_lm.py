@@ -33,19 +33,25 @@ from .shared import batches_as_lists, fold_bucket, settle, table, text_rows
 #: m(h) = FLAT + SHARE * C(h), see above.
 FLAT, SHARE = 2.0, 1.5
 #: Tokens of a block and entries of a hash range, about: what one task holds at a time.
-BLOCK_TOKENS, RANGE_ENTRIES = 1_000_000, 2_000_000
+BLOCK_TOKENS, RANGE_ENTRIES = 2_000_000, 2_000_000
 #: Stands for the end token; no word holds a blank.
 END = b" end "
 
 _BLOCK = "block long, n_tokens long, n_train long, ids binary, held binary, lengths binary, tokens binary, vocabulary binary"
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+def _pack(a: np.ndarray, ascending: bool = False) -> bytes:
+    """Compressed, the n-th bytes of all numbers together; of ascending numbers their differences."""
+    a = np.ascontiguousarray(a)
+    if ascending and len(a):
+        a = np.r_[a[:1], a[1:] - a[:-1]]
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
-def _unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
+def _unpack(b: bytes, dtype, ascending: bool = False) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    a = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+    return np.cumsum(a, dtype=dtype) if ascending else a
 
 
 def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
@@ -132,7 +138,7 @@ def _requests(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
                 for k in range(1, order + 1):
                     keys, _, counts = g.distinct(k)
                     edges = _edges(keys, ranges)
-                    out += [{"range": r, "block": row["block"], "order": k, "keys": keys[i:j].tobytes(), "counts": _pack(counts[i:j])} for r, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
+                    out += [{"range": r, "block": row["block"], "order": k, "keys": _pack(keys[i:j], ascending=True), "counts": _pack(counts[i:j])} for r, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("range", pa.int32()), ("block", pa.int64()), ("order", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     return blocks.select("block", "held", "lengths", "tokens", "vocabulary").mapInArrow(run, "range int, block long, order int, keys binary, counts binary")
@@ -146,7 +152,7 @@ def _totals(requests: DataFrame) -> DataFrame:
         out = []
         for k in sorted(set(group["order"].to_pylist())):
             rows = [r for r in group.filter(pa.compute.equal(group["order"], k)).to_pylist()]
-            parts = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+            parts = [_unpack(r["keys"], np.uint64, ascending=True) for r in rows]
             keys, index = np.unique(np.concatenate(parts), return_inverse=True)
             total = np.bincount(index, weights=np.concatenate([_unpack(r["counts"], np.int64) for r in rows])).astype(np.int64)
             known, at = int((total > 0).sum()), 0
