@@ -1,13 +1,17 @@
 """Registered queries of the corpus operators, and SQL where it can express one."""
 
-from . import byte_bpe, hyperlang, ngram_lm, simhash, toxic_segments
+from . import byte_bpe, hyperlang, ngram_lm, quality_rules, simhash, source_mix, toxic_segments
 
 QUERIES = {
+    "op2_robust_outliers": quality_rules.op2_robust_outliers,
     "op4_ngram_lm": ngram_lm.op4_ngram_lm,
+    "op5_mix_sources": source_mix.op5_mix_sources,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_toxic_segments": toxic_segments.op8_toxic_segments,
     "op9_hyperdimensional_language": hyperlang.op9_hyperdimensional_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mix_sources": source_mix.SQL,
+}
