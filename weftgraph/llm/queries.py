@@ -1,8 +1,9 @@
 """Registered queries of the corpus operators, and SQL where it can express one."""
 
-from . import byte_bpe, hyperlang, ngram_lm, quality_rules, secret_scan, simhash, source_mix, toxic_segments
+from . import bitsliced_topk, byte_bpe, hyperlang, ngram_lm, quality_rules, secret_scan, simhash, source_mix, toxic_segments
 
 QUERIES = {
+    "op1_bitsliced_topk": bitsliced_topk.op1_bitsliced_topk,
     "op10_markov_secrets": secret_scan.op10_markov_secrets,
     "op2_robust_outliers": quality_rules.op2_robust_outliers,
     "op4_ngram_lm": ngram_lm.op4_ngram_lm,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_bitsliced_topk": bitsliced_topk.SQL,
     "op5_mix_sources": source_mix.SQL,
 }
