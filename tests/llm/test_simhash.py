@@ -104,3 +104,18 @@ def test_chain_components(spark):
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
     assert connected_components(edges.where(F.lit(False))).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows, docs = documents(spark)
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    top = brute_components(fps)
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, brute_fingerprint(r.text)) for r in got.collect()]
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    want = {t: min(((r[0] if r[0] is not None else 2**63 - 1, signed(f), r[0]) for r, f, u in zip(rows, fps, top) if u == t)) for t in set(top)}
+    assert sorted(kept, key=str) == sorted(((i, f & (2**64 - 1)) for _, f, i in want.values()), key=str)
+    only_null = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "x y z w v u")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.representatives(only_null).collect()) == ["a b c", "x y z w v u"]
+    assert simhash.representatives(docs.where("false")).count() == 0

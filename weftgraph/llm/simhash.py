@@ -13,6 +13,7 @@ size. A cell compares its members in numpy and emits a spanning forest of its li
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,7 +138,7 @@ def _as_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame, threshold: int = 3, size: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp long, component_id (the smallest doc_id reachable over links at
-    ``threshold`` or fewer differing bits, itself included).
+    ``threshold`` or fewer differing bits, itself included) and component_fp (a fingerprint that stands for the component).
 
     Null and empty texts and texts without words have fingerprint 0 and link like any other. A null doc_id takes part;
     it is nobody's component_id unless all of a component's ids are null (then null). Repeated rows give repeated
@@ -147,9 +148,40 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, size: int = 3, seed: in
     label = connected_components(links(nodes.select("fp"), threshold))
     linked = nodes.join(label, nodes.fp == label.node).select("fp", "component", "least_id")
     of_component = linked.groupBy("component").agg(F.min("least_id").alias("component_least"))
-    merged = linked.join(of_component, "component").select(F.col("fp").alias("merged_fp"), "component_least")
-    least = nodes.join(merged, F.col("fp") == F.col("merged_fp"), "left").select(F.col("fp").alias("node_fp"), F.when(F.col("merged_fp").isNotNull(), F.col("component_least")).otherwise(F.col("least_id")).alias("component_id"))
-    return own.join(least, own.fp == least.node_fp, "left").select("doc_id", "fp", "component_id")
+    merged = linked.join(of_component, "component").select(F.col("fp").alias("merged_fp"), "component_least", "component")
+    least = nodes.join(merged, F.col("fp") == F.col("merged_fp"), "left").select(F.col("fp").alias("node_fp"), F.when(F.col("merged_fp").isNotNull(), F.col("component_least")).otherwise(F.col("least_id")).alias("component_id"), F.coalesce("component", "fp").alias("component_fp"))
+    return own.join(least, own.fp == least.node_fp, "left").select("doc_id", "fp", "component_id", "component_fp")
+
+
+def representatives(docs: DataFrame, threshold: int = 3, size: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, with its columns, that stay if one row of each component stays: the one with the smallest doc_id
+    (null is the largest) and, of several with this id, the one with the least fingerprint; of equal ones any.
+
+    Rows are told by doc_id, so no text is shuffled but those whose id stays; where an id is null or repeats, by id
+    and fingerprint, and only those rows are brought together to drop all but one."""
+    found = settle(near_duplicates(docs, threshold, size, seed))
+    last = F.lit(2**63 - 1)
+    stays = found.groupBy("component_fp").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("i"), F.col("doc_id").alias("simhash_id"), F.col("fp").alias("simhash_of"))).alias("s")).select("s.*")
+    unique = found.where("doc_id is not null").groupBy("doc_id").count().where("count = 1").select("doc_id")
+    once = stays.join(unique, F.col("simhash_id") == F.col("doc_id"), "left_semi").select("simhash_id")
+    more = settle(stays.join(unique, F.col("simhash_id") == F.col("doc_id"), "left_anti").select("simhash_id", "simhash_of"))
+    key = F.col("doc_id").cast("long")
+    single = docs.join(once, key == F.col("simhash_id"), "left_semi")
+    if more.isEmpty():
+        return single
+    again = docs.join(more.select("simhash_id").distinct(), key.eqNullSafe(F.col("simhash_id")), "left_semi")
+    kept = _with_fingerprint(again, size, seed).join(more, key.eqNullSafe(F.col("simhash_id")) & (F.col("simhash_fp") == F.col("simhash_of")), "left_semi")
+    return single.unionByName(kept.dropDuplicates(["doc_id", "simhash_fp"]).drop("simhash_fp"))
+
+
+def _with_fingerprint(docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """``docs`` and its fingerprints, simhash_fp."""
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint((t or "").encode(), size, seed) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64))
+
+    return docs.withColumn("simhash_fp", fp(F.col("text")))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
