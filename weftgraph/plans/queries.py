@@ -1,8 +1,519 @@
-"""Registered graph queries and their SQL."""
+"""Registered graph queries, each with the SQL that DuckDB runs on the same tables. Inventory identifiers stand in brackets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import terms
+from ..operators import compile as C
+from ..operators import explore, mask, profile, resolve, validate, versions
+from ..sources import export
+from . import commerce, meta, nl, policy, sparql
+from .commerce import NAMESPACE as NS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+PREFIX = f"PREFIX ex: <{NS}#>\n"
+S, X, R = terms.PREFIXES["schema"], terms.XSD, terms.RDF_TYPE
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def ask(name: str, text: str, sql: str | None) -> None:
+    """A query in SPARQL over the commerce graph."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sparql.run(commerce.graph(spark, sf_dir), PREFIX + text)
+
+    run.__name__, run.__doc__ = name, text
+    query(sql)(run)
+
+
+def triples(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Data and type triples of tables, without declared edges."""
+    own = [commerce.table(spark, sf_dir, n) for n in names]
+    return C.graph(own, [], NS, spark)
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.graph([commerce.table(spark, sf_dir, n) for n in commerce.TABLES], commerce.RELATIONSHIPS, NS, spark)
+
+
+# --- SQL of the same triples -----------------------------------------------------------------------------------------
+_PREDICATES = {("customer", "c_mktsegment"): f"{NS}#segment", ("customer", "c_acctbal"): f"{NS}#balance", ("part", "p_brand"): f"{NS}#brand", ("part", "p_retailprice"): f"{S}price", ("orders", "o_totalprice"): f"{NS}#totalAmount", ("orders", "o_orderpriority"): f"{NS}#priority"} | {(t, c): f"{S}name" for t, c in (("region", "r_name"), ("nation", "n_name"), ("customer", "c_name"), ("supplier", "s_name"))}
+_COLUMNS = {"region": ["r_name"], "nation": ["n_name", "n_regionkey"], "customer": ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "supplier": ["s_name", "s_nationkey", "s_acctbal"], "part": ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "orders": ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]}
+_XSD = {"c_acctbal": "double", "s_acctbal": "double", "p_retailprice": "double", "o_totalprice": "double", "p_size": "int", "o_orderdate": "dateTime"}
+
+
+def _text(c: str) -> str:
+    return f"replace(CAST({c} AS VARCHAR), ' ', 'T')" if c == "o_orderdate" else f"CAST({c} AS VARCHAR)"
+
+
+def _iri(table: str, key: str) -> str:
+    return f"'{NS}/{commerce.TABLES[table][0]}/' || CAST({key} AS VARCHAR)"
+
+
+def _data_sql(*tables: str, types: bool = False, edges: bool = False) -> str:
+    """SELECT subject, predicate, object, is_iri, datatype, kind ... UNION ALL ..."""
+    parts = []
+    for t in tables:
+        entity, key, _, links = commerce.TABLES[t]
+        for c in _COLUMNS[t]:
+            p = _PREDICATES.get((t, c), f"{NS}/{c}")
+            o = f"'{NS}/{links[c]}/' || CAST({c} AS VARCHAR)" if c in links else _text(c)
+            dt = "CAST(NULL AS VARCHAR)" if c in links else f"'{X}{_XSD.get(c, 'string')}'"
+            parts.append(f"SELECT {_iri(t, key)} AS subject, '{p}' AS predicate, {o} AS object, {'true' if c in links else 'false'} AS is_iri, {dt} AS datatype, 'data' AS kind FROM {t} WHERE {c} IS NOT NULL")
+        if types:
+            parts.append(f"SELECT {_iri(t, key)}, '{R}', '{NS}#{entity}', true, NULL, 'type' FROM {t}")
+    if edges:
+        for r in commerce.RELATIONSHIPS:
+            a, b = _iri(r.from_table, commerce.TABLES[r.from_table][1]), _iri(r.to_table, r.from_column)
+            parts.append(f"SELECT {a}, '{NS}#{r.predicate[3:]}', {b}, true, NULL, 'edge' FROM {r.from_table}")
+            if r.inverse_predicate:
+                parts.append(f"SELECT {b}, '{NS}#{r.inverse_predicate[3:]}', {a}, true, NULL, 'edge' FROM {r.from_table}")
+    return " UNION ALL ".join(parts)
+
+
+_ALL = _data_sql(*commerce.TABLES, types=True, edges=True)
+_SHORT = ["subject", "predicate", "object", "is_iri", "datatype", "kind"]
+
+
+# --- compile -----------------------------------------------------------------------------------------------------------
+@query(_data_sql("customer"))
+def compile_customer_triples(spark, sf_dir):
+    """[P1 P2 P4 P6 F1 S2]"""
+    return C.table_triples(commerce.table(spark, sf_dir, "customer"), NS).select(*_SHORT)
+
+
+@query(_data_sql("orders"))
+def compile_order_triples(spark, sf_dir):
+    """[P1 P4 P6] with timestamps and doubles."""
+    return C.table_triples(commerce.table(spark, sf_dir, "orders"), NS).select(*_SHORT)
+
+
+_PLACED = _iri("orders", "o_orderkey"), _iri("customer", "o_custkey")
+
+
+def _edges(spark, sf_dir, predicate):
+    tables = {n: commerce.table(spark, sf_dir, n) for n in ("orders", "customer")}
+    return C.edge_triples(commerce.RELATIONSHIPS[3], tables, NS).where(F.col("predicate") == f"{NS}#{predicate}").select("subject", "predicate", "object")
+
+
+@query(f"SELECT {_PLACED[0]} AS subject, '{NS}#placedBy' AS predicate, {_PLACED[1]} AS object FROM orders")
+def compile_fk_edges(spark, sf_dir):
+    """[P8]"""
+    return _edges(spark, sf_dir, "placedBy")
+
+
+@query(f"SELECT {_PLACED[1]} AS subject, '{NS}#placedOrder' AS predicate, {_PLACED[0]} AS object FROM orders")
+def compile_inverse_edges(spark, sf_dir):
+    """[P8]"""
+    return _edges(spark, sf_dir, "placedOrder")
+
+
+@query(f"SELECT '{NS}/Customer/' || c_custkey AS subject, '{NS}#livesNear' AS predicate, '{NS}/Nation/' || n_nationkey AS object FROM customer JOIN nation ON n_name = (SELECT max(n_name) FROM nation) AND c_nationkey = n_nationkey")
+def compile_edge_by_name(spark, sf_dir):
+    """[J5] the target column is not the key, so the key is looked up."""
+    nation, customer = commerce.table(spark, sf_dir, "nation"), commerce.table(spark, sf_dir, "customer")
+    top = nation.df.agg(F.max("n_name").alias("near"))
+    near = customer.df.join(nation.df, F.col("c_nationkey") == F.col("n_nationkey")).join(top, F.col("n_name") == F.col("near")).select("c_custkey", "near")
+    tables = {"nation": nation, "customer": C.Table("customer", near, "Customer", "c_custkey")}
+    return C.edge_triples(C.Relationship("near", "customer", "near", "nation", "n_name", "ex:livesNear"), tables, NS).select("subject", "predicate", "object")
+
+
+@query(f"SELECT {_iri('part', 'p_partkey')} AS subject, '{R}' AS predicate, '{NS}#Part' AS object, 'type' AS kind FROM part")
+def compile_type_triples(spark, sf_dir):
+    """[P7]"""
+    return C.type_triples(commerce.table(spark, sf_dir, "part"), NS).select("subject", "predicate", "object", "kind")
+
+
+@query(f"SELECT {_iri('part', 'p_partkey')} AS subject, '{NS}/words' AS predicate, unnest(string_split(p_type, ' ')) AS object, true AS is_iri FROM part")
+def compile_list_column(spark, sf_dir):
+    """[P5]"""
+    df = commerce.source(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("words"))
+    return C.table_triples(C.Table("part", df, "Part", "p_partkey"), NS).select("subject", "predicate", "object", "is_iri")
+
+
+@query(f"SELECT {_iri('orders', 'o_orderkey')} AS subject, '{NS}/p' AS predicate, o_orderpriority AS object FROM orders WHERE o_orderpriority <> '5-LOW'")
+def compile_with_nulls(spark, sf_dir):
+    """[P1 F1] nulls make no triple."""
+    df = commerce.source(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p"))
+    return C.table_triples(C.Table("orders", df, "Order", "o_orderkey"), NS).select("subject", "predicate", "object")
+
+
+@query(f"SELECT '{NS}/Customer/' || left(sha256('{NS}/Customer/' || c_custkey), 16) AS iri FROM customer")
+def iri_hash_strategy(spark, sf_dir):
+    """[P2]"""
+    return commerce.source(spark, sf_dir, "customer").select(terms.minted(NS, "Customer", F.col("c_custkey"), "hash").alias("iri"))
+
+
+@query()
+def iri_uuid5_strategy(spark, sf_dir):
+    """[P2] tested against the library."""
+    return commerce.source(spark, sf_dir, "customer").select("c_custkey", terms.minted(NS, "Customer", F.col("c_custkey"), "uuid5").alias("iri"))
+
+
+@query(f"SELECT DISTINCT subject, predicate, object FROM ({_data_sql('nation', 'region', types=True)}) WHERE kind = 'type' OR predicate = '{S}name'")
+def graph_as_set(spark, sf_dir):
+    """[D5 X1 X5] bag to set."""
+    bag = triples(spark, sf_dir, "nation", "region")
+    return C.as_set(bag.unionByName(bag)).where((F.col("kind") == "type") | (F.col("predicate") == f"{S}name")).select("subject", "predicate", "object")
+
+
+# --- measures ----------------------------------------------------------------------------------------------------------
+@query(f"SELECT predicate, count(*) AS n FROM ({_ALL}) GROUP BY predicate")
+def triple_counts_by_predicate(spark, sf_dir):
+    """[A4 A8]"""
+    return profile.property_distribution(whole(spark, sf_dir))
+
+
+@query(" UNION ALL ".join(f"SELECT '{e}' AS class, count(*) AS n FROM {t}" for t, (e, *_) in commerce.TABLES.items()))
+def class_distribution(spark, sf_dir):
+    """[A7]"""
+    return profile.class_distribution(whole(spark, sf_dir))
+
+
+@query(f"""WITH g AS ({_ALL}), r AS (SELECT DISTINCT object FROM g WHERE is_iri AND predicate <> '{R}')
+SELECT count(*) AS total_triples, count(DISTINCT subject) AS unique_subjects, count(DISTINCT predicate) AS unique_predicates, count(DISTINCT object) AS unique_objects,
+count(DISTINCT CASE WHEN predicate = '{R}' THEN object END) AS entity_types, count(*) FILTER (is_iri AND predicate <> '{R}') AS relationship_edges, count(DISTINCT CASE WHEN NOT is_iri THEN predicate END) AS literal_columns,
+(SELECT count(*) FROM (SELECT DISTINCT subject FROM g) WHERE subject NOT IN (SELECT object FROM r)) AS orphan_entities, (SELECT count(*) FROM r WHERE object NOT IN (SELECT subject FROM g)) AS broken_references FROM g""")
+def graph_profile(spark, sf_dir):
+    """[A4 A5 A6]"""
+    return profile.profile(whole(spark, sf_dir))
+
+
+@query("SELECT 'https://data.example/commerce/Customer/' || c_custkey AS iri FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'https://data.example/commerce/Order/' || o_orderkey FROM orders")
+def diagnose_orphans(spark, sf_dir):
+    """[A9]"""
+    return profile.unreferenced(triples(spark, sf_dir, "customer", "orders"))
+
+
+@query("SELECT DISTINCT 'https://data.example/commerce/Customer/' || o_custkey AS iri FROM orders WHERE o_custkey % 10 = 0")
+def broken_references(spark, sf_dir):
+    """[J10] some customers are taken out."""
+    customer = commerce.table(spark, sf_dir, "customer")
+    some = C.Table("customer", customer.df.where("c_custkey % 10 <> 0").drop("c_nationkey"), "Customer", "c_custkey")
+    return profile.broken(C.graph([some, commerce.table(spark, sf_dir, "orders")], [], NS, spark))
+
+
+@query(f"SELECT count(*) AS triples, 0 AS empty_subjects, 0 AS empty_predicates, count(DISTINCT subject) AS subjects FROM ({_ALL})")
+def triple_sanity(spark, sf_dir):
+    """[A11]"""
+    return validate.check_triples(whole(spark, sf_dir))
+
+
+# --- checks ------------------------------------------------------------------------------------------------------------
+@query("SELECT count(*) - count(DISTINCT l_orderkey * 10 + l_linenumber) AS duplicates FROM lineitem")
+def validate_pk_duplicates(spark, sf_dir):
+    """[A2 A10]"""
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return commerce.source(spark, sf_dir, "lineitem").agg(validate.duplicates(key).alias("duplicates"))
+
+
+@query("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
+def validate_fk_orphans(spark, sf_dir):
+    """[J1 C2]"""
+    return validate.orphans(commerce.source(spark, sf_dir, "orders"), "o_custkey", commerce.source(spark, sf_dir, "customer").where("c_custkey % 10 <> 0"), "c_custkey")
+
+
+@query("SELECT 'o_orderkey' AS \"column\", count(*) AS rows, 0 AS nulls, CAST(0 AS DOUBLE) AS null_rate FROM orders UNION ALL SELECT 'p', count(*), count(*) - count(nullif(o_orderpriority, '5-LOW')), 1 - count(nullif(o_orderpriority, '5-LOW')) / count(*) FROM orders")
+def validate_nulls(spark, sf_dir):
+    """[A1 A3 A10]"""
+    return validate.profile(commerce.source(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p")))
+
+
+@query("SELECT count(DISTINCT c_mktsegment) AS segments, count(DISTINCT c_nationkey) AS nations, count(DISTINCT c_name) AS names FROM customer")
+def column_analysis(spark, sf_dir):
+    """[P9]"""
+    found = {c["column"]: c["n_unique"] for c in C.column_analysis(commerce.table(spark, sf_dir, "customer"), NS)}
+    return spark.createDataFrame([(found["c_mktsegment"], found["c_nationkey"], found["c_name"])], "segments long, nations long, names long")
+
+
+# --- masks -------------------------------------------------------------------------------------------------------------
+def _masked(name: str, strategy: str, sql: str, salt: str = "s") -> None:
+    def run(spark, sf_dir):
+        return mask.apply(commerce.source(spark, sf_dir, "customer").select("c_custkey", "c_name"), {"c_name": strategy}, salt)
+
+    run.__name__, run.__doc__ = name, "[C4 C5 U2]"
+    query(f"SELECT c_custkey, {sql} AS c_name FROM customer")(run)
+
+
+_masked("mask_hash", "hash", "'sha256:' || sha256('s::' || c_name)")
+_masked("mask_partial", "partial", "CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE left(c_name, 2) || repeat('*', greatest(1, length(c_name) - 4)) || right(c_name, 2) END")
+_masked("mask_redact", "redact", "'[REDACTED]'")
+_masked("pii_hash32", "hash32", "left(sha256('s:' || c_name), 32)")
+_masked("pii_pseudonym", "pseudonymize", "CASE WHEN contains(c_name, '@') THEN 'user' || left(md5(c_name), 6) || '@example.com' WHEN regexp_full_match(replace(replace(c_name, '+', ''), '-', ''), '[0-9]+') THEN '+X-XXX-' || left(md5(c_name), 4) ELSE '[MASKED-' || left(md5(c_name), 8) || ']' END")
+
+
+# --- SPARQL ------------------------------------------------------------------------------------------------------------
+_C, _O, _N, _RG, _SU, _P = (f"'{NS}/{e}/' || {k}" for e, k in (("Customer", "c_custkey"), ("Order", "o_orderkey"), ("Nation", "n_nationkey"), ("Region", "r_regionkey"), ("Supplier", "s_suppkey"), ("Part", "p_partkey")))
+FLAGSHIP = "SELECT ?seg (COUNT(DISTINCT ?o) AS ?n) WHERE { ?o a ex:Order ; ex:placedBy ?c . ?c ex:segment ?seg } GROUP BY ?seg"
+_JOIN = "orders JOIN customer ON o_custkey = c_custkey"
+ask("sparql_count_distinct", FLAGSHIP, f"SELECT c_mktsegment AS seg, CAST(count(DISTINCT o_orderkey) AS VARCHAR) AS n FROM {_JOIN} GROUP BY 1")
+ask("bgp_one_hop", "SELECT ?o ?c WHERE { ?o ex:placedBy ?c }", f"SELECT {_O} AS o, {_PLACED[1]} AS c FROM orders")
+ask("bgp_two_hop", "SELECT ?o ?n WHERE { ?o ex:placedBy ?c . ?c ex:inNation ?n }", f"SELECT {_O} AS o, '{NS}/Nation/' || c_nationkey AS n FROM {_JOIN}")
+ask("bgp_three_hop", "SELECT ?name (COUNT(*) AS ?n) WHERE { ?o ex:placedBy ?c . ?c ex:inNation ?x . ?x ex:inRegion ?r . ?r schema:name ?name } GROUP BY ?name", f"SELECT r_name AS name, CAST(count(*) AS VARCHAR) AS n FROM {_JOIN} JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+ask("bgp_star", "SELECT ?o ?s ?p WHERE { ?o a ex:Order ; ex:priority ?p ; ex:placedBy ?c . ?c a ex:Customer ; ex:segment ?s }", f"SELECT {_O} AS o, c_mktsegment AS s, o_orderpriority AS p FROM {_JOIN}")
+ask("bgp_constant_object", 'SELECT ?c WHERE { ?c ex:segment "BUILDING" }', f"SELECT {_C} AS c FROM customer WHERE c_mktsegment = 'BUILDING'")
+ask("sparql_filter_numeric", "SELECT ?o ?t WHERE { ?o ex:totalAmount ?t FILTER(?t > 100000 && xsd:decimal(?t) <= 250000.5) }", f"SELECT {_O} AS o, CAST(o_totalprice AS VARCHAR) AS t FROM orders WHERE o_totalprice > 100000 AND o_totalprice <= 250000.5")
+ask("sparql_filter_string", 'SELECT ?c WHERE { ?c ex:segment ?s FILTER(CONTAINS(LCASE(STR(?s)), "build") || STRSTARTS(?s, "AUTO") || REGEX(?s, "^mach", "i")) }', f"SELECT {_C} AS c FROM customer WHERE c_mktsegment LIKE '%BUILD%' OR c_mktsegment LIKE 'AUTO%' OR c_mktsegment LIKE 'MACH%'")
+ask("sparql_string_functions", 'SELECT ?c ?u ?n WHERE { ?c ex:segment ?s BIND(CONCAT(LCASE(SUBSTR(?s, 1, 3)), "-", REPLACE(?s, "[AEIOU]", "")) AS ?u) BIND(STRLEN(?s) AS ?n) FILTER(!STRENDS(?s, "Y") && ?s != "BUILDING") }', f"SELECT {_C} AS c, lower(left(c_mktsegment, 3)) || '-' || regexp_replace(c_mktsegment, '[AEIOU]', '', 'g') AS u, CAST(length(c_mktsegment) AS VARCHAR) AS n FROM customer WHERE NOT c_mktsegment LIKE '%Y' AND c_mktsegment <> 'BUILDING'")
+ask("sparql_optional", 'SELECT ?c ?o WHERE { ?c a ex:Customer ; ex:segment "BUILDING" . OPTIONAL { ?o ex:placedBy ?c ; ex:priority "1-URGENT" } }', f"SELECT {_C} AS c, '{NS}/Order/' || o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' WHERE c_mktsegment = 'BUILDING'")
+ask("sparql_optional_filter", "SELECT ?c ?o WHERE { ?c ex:balance ?b . OPTIONAL { ?o ex:placedBy ?c ; ex:totalAmount ?t FILTER(?t > ?b * 60) } }", f"SELECT {_C} AS c, '{NS}/Order/' || o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 60")
+ask("sparql_optional_join", 'SELECT ?c ?n WHERE { ?c ex:inNation ?x OPTIONAL { ?c ex:segment "BUILDING" . ?c ex:inNation ?n } OPTIONAL { ?c ex:inNation ?n } }', f"SELECT {_C} AS c, '{NS}/Nation/' || c_nationkey AS n FROM customer")
+ask("sparql_union", 'SELECT ?x ?b WHERE { { ?x ex:basedIn ?n . ?n schema:name ?b } UNION { ?x ex:segment ?b FILTER(?b = "MACHINERY") } }', f"SELECT {_SU} AS x, n_name AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT {_C}, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY'")
+ask("sparql_minus", 'SELECT ?c WHERE { ?c a ex:Customer MINUS { ?o ex:placedBy ?c ; ex:priority "1-URGENT" } }', f"SELECT {_C} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+ask("sparql_exists", "SELECT ?c WHERE { ?c a ex:Customer FILTER EXISTS { ?o ex:placedBy ?c ; ex:totalAmount ?t FILTER(?t > 300000) } }", f"SELECT {_C} AS c FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+ask("sparql_not_exists", "SELECT ?n WHERE { ?n a ex:Nation FILTER NOT EXISTS { ?s ex:basedIn ?n } }", f"SELECT {_N} AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+ask("sparql_bind", "SELECT ?p ?half ?big WHERE { ?p schema:price ?r BIND(FLOOR(?r / 2) AS ?half) BIND(IF(?r > 1500, \"big\", \"small\") AS ?big) }", f"SELECT {_P} AS p, CAST(CAST(floor(p_retailprice / 2) AS BIGINT) AS VARCHAR) AS half, CASE WHEN p_retailprice > 1500 THEN 'big' ELSE 'small' END AS big FROM part")
+ask("sparql_values", 'SELECT ?c ?s ?k WHERE { VALUES (?s ?k) { ("BUILDING" 1) ("MACHINERY" 2) } ?c ex:segment ?s }', f"SELECT {_C} AS c, c_mktsegment AS s, CASE WHEN c_mktsegment = 'BUILDING' THEN '1' ELSE '2' END AS k FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+ask("sparql_subselect", "SELECT ?name ?m WHERE { ?x schema:name ?name ; a ex:Nation . { SELECT ?x (MAX(?b) AS ?m) WHERE { ?c ex:inNation ?x ; ex:balance ?b } GROUP BY ?x } }", "SELECT n_name AS name, CAST(max(c_acctbal) AS VARCHAR) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
+ask("sparql_group_having", "SELECT ?c (COUNT(?o) AS ?n) WHERE { ?o ex:placedBy ?c } GROUP BY ?c HAVING (COUNT(?o) > 15)", f"SELECT {_PLACED[1]} AS c, CAST(count(*) AS VARCHAR) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15")
+ask("sparql_aggregates", "SELECT ?s (MIN(?b) AS ?low) (MAX(?b) AS ?high) (COUNT(?b) AS ?n) WHERE { ?c ex:segment ?s ; ex:balance ?b ; a ex:Customer } GROUP BY ?s", "SELECT c_mktsegment AS s, CAST(min(c_acctbal) AS VARCHAR) AS low, CAST(max(c_acctbal) AS VARCHAR) AS high, CAST(count(*) AS VARCHAR) AS n FROM customer GROUP BY 1")
+ask("sparql_sum_avg", "SELECT ?s (SUM(FLOOR(?b)) AS ?total) (ROUND(AVG(FLOOR(?b))) AS ?mean) WHERE { ?c ex:segment ?s ; ex:balance ?b } GROUP BY ?s", "SELECT c_mktsegment AS s, CAST(CAST(sum(floor(c_acctbal)) AS BIGINT) AS VARCHAR) AS total, CAST(CAST(floor(avg(floor(c_acctbal)) + 0.5) AS BIGINT) AS VARCHAR) AS mean FROM customer GROUP BY 1")
+ask("sparql_order_limit", "SELECT ?o ?t WHERE { ?o ex:totalAmount ?t } ORDER BY DESC(?t) ?o LIMIT 25 OFFSET 5", f"SELECT {_O} AS o, CAST(o_totalprice AS VARCHAR) AS t FROM orders ORDER BY o_totalprice DESC, 1 LIMIT 25 OFFSET 5")
+ask("sparql_distinct", "SELECT DISTINCT ?s ?p WHERE { ?o ex:placedBy ?c ; ex:priority ?p . ?c ex:segment ?s }", f"SELECT DISTINCT c_mktsegment AS s, o_orderpriority AS p FROM {_JOIN}")
+ask("sparql_group_concat", 'SELECT ?r (GROUP_CONCAT(?name; SEPARATOR="|") AS ?names) WHERE { ?n ex:inRegion ?r ; schema:name ?name } GROUP BY ?r', f"SELECT '{NS}/Region/' || n_regionkey AS r, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+ask("sparql_path_seq", "SELECT ?o ?r WHERE { ?o ex:placedBy/ex:inNation/ex:inRegion ?r }", f"SELECT {_O} AS o, '{NS}/Region/' || n_regionkey AS r FROM {_JOIN} JOIN nation ON c_nationkey = n_nationkey")
+ask("sparql_path_inverse", "SELECT ?n ?c WHERE { ?n ^ex:inNation ?c ; schema:name \"FRANCE\" }", f"SELECT {_N} AS n, {_C} AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'FRANCE'")
+ask("sparql_path_alt", "SELECT ?x ?n WHERE { ?x ex:inNation|ex:basedIn ?n }", f"SELECT {_C} AS x, '{NS}/Nation/' || c_nationkey AS n FROM customer UNION ALL SELECT {_SU}, '{NS}/Nation/' || s_nationkey FROM supplier")
+ask("sparql_path_plus", "SELECT ?a ?b WHERE { ?a (ex:inRegion|ex:hasNation)+ ?b }", f"WITH RECURSIVE e AS (SELECT {_N} AS a, '{NS}/Region/' || n_regionkey AS b FROM nation UNION SELECT '{NS}/Region/' || n_regionkey, {_N} FROM nation), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a, b FROM p")
+ask("sparql_path_star", "SELECT ?b WHERE { ex:nobody ex:inRegion* ?b } ", None)
+ask("sparql_variable_predicate", f"SELECT ?p ?o WHERE {{ <{NS}/Nation/3> ?p ?o }}", f"SELECT DISTINCT predicate AS p, object AS o FROM ({_ALL}) WHERE subject = '{NS}/Nation/3'")
+ask("sparql_ask", 'ASK { ?c ex:segment "BUILDING" . ?o ex:placedBy ?c }', f"SELECT count(*) > 0 AS result FROM {_JOIN} WHERE c_mktsegment = 'BUILDING'")
+ask("sparql_construct", "CONSTRUCT { ?c ex:buysIn ?n . ?n ex:soldTo ?c } WHERE { ?o ex:placedBy ?c . ?c ex:inNation ?n }", f"WITH p AS (SELECT DISTINCT {_C} AS c, '{NS}/Nation/' || c_nationkey AS n FROM {_JOIN}) SELECT c AS subject, '{NS}#buysIn' AS predicate, n AS object, true AS is_iri, '' AS datatype, '' AS lang FROM p UNION ALL SELECT n, '{NS}#soldTo', c, true, '', '' FROM p")
+ask("sparql_describe", f"DESCRIBE ?r WHERE {{ ?r a ex:Region }}", f"SELECT DISTINCT subject, predicate, object, is_iri, coalesce(datatype, '') AS datatype, '' AS lang FROM ({_ALL}) WHERE subject LIKE '{NS}/Region/%'")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["sparql_count_distinct"](spark, sf_dir)
+
+
+@query("SELECT CAST(count(DISTINCT c_custkey) AS VARCHAR) AS \"count\" FROM customer")
+def plan_count_customers(spark, sf_dir):
+    """[C10 C11 A12] a question through linker, planner and SPARQL."""
+    return nl.answer(commerce.graph(spark, sf_dir), nl.Schema.of(commerce.TABLES, commerce.RELATIONSHIPS, NS), "how many customers are there")
+
+
+@query(f"SELECT CAST(count(DISTINCT o_orderkey) AS VARCHAR) AS \"count\" FROM {_JOIN} JOIN nation ON c_nationkey = n_nationkey")
+def plan_path_join(spark, sf_dir):
+    """[C11 J7] the path from orders to nations is found over customers."""
+    return nl.answer(commerce.graph(spark, sf_dir), nl.Schema.of(commerce.TABLES, commerce.RELATIONSHIPS, NS), "count order with a nation")
+
+
+# --- exploration -------------------------------------------------------------------------------------------------------
+@query(f"SELECT subject, split_part(min(predicate || chr(1) || object), chr(1), 1) AS predicate, split_part(min(predicate || chr(1) || object), chr(1), 2) AS object FROM ({_data_sql('nation', 'supplier', types=True)}) WHERE contains(lower(subject), 'an') OR contains(lower(predicate), 'an') OR contains(lower(object), 'an') GROUP BY subject ORDER BY subject LIMIT 15")
+def search_entities(spark, sf_dir):
+    """[F2]"""
+    return explore.search(triples(spark, sf_dir, "nation", "supplier"), "AN", limit=15)
+
+
+@query(f"SELECT predicate, array_to_string(list_sort(list(object)), '|') AS objects FROM ({_data_sql('customer', types=True)}) WHERE subject = '{NS}/Customer/7' GROUP BY predicate")
+def entity_facts(spark, sf_dir):
+    """[F3]"""
+    return explore.facts(triples(spark, sf_dir, "customer"), f"{NS}/Customer/7").select("predicate", F.array_join("objects", "|").alias("objects"))
+
+
+_NEAR = f"SELECT {_O} AS subject, '{NS}/o_custkey' AS predicate, {_PLACED[1]} AS object FROM orders"
+
+
+@query(f"SELECT 1 AS hop, 'in' AS direction, subject, predicate, object FROM ({_NEAR}) WHERE object = '{NS}/Customer/7' UNION ALL SELECT 1, 'out', {_C}, '{NS}/c_nationkey', '{NS}/Nation/' || c_nationkey FROM customer WHERE c_custkey = 7")
+def entity_neighbours(spark, sf_dir):
+    """[F4]"""
+    return explore.neighbours(triples(spark, sf_dir, "customer", "orders"), f"{NS}/Customer/7", limit=1000)
+
+
+@query(f"""WITH e AS (SELECT {_N} AS s, '{NS}/Region/' || n_regionkey AS o FROM nation), h1 AS (SELECT 1 AS hop, 'out' AS direction, s AS subject, o AS object FROM e WHERE s = '{NS}/Nation/3'),
+h2 AS (SELECT 2 AS hop, 'in' AS direction, s AS subject, o AS object FROM e WHERE o IN (SELECT object FROM h1) UNION ALL SELECT 2, 'in', s, o FROM e WHERE false)
+SELECT hop, direction, subject, '{NS}/n_regionkey' AS predicate, object FROM h1 UNION ALL SELECT hop, direction, subject, '{NS}/n_regionkey', object FROM h2""")
+def entity_two_hops(spark, sf_dir):
+    """[F4 J8]"""
+    return explore.neighbours(triples(spark, sf_dir, "nation", "region"), f"{NS}/Nation/3", depth=2, limit=1000)
+
+
+@query(f"SELECT DISTINCT predicate FROM ({_data_sql('customer', 'part', 'orders')}) WHERE NOT is_iri AND TRY_CAST(object AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST(object AS DOUBLE)) ORDER BY predicate LIMIT 50")
+def numeric_properties(spark, sf_dir):
+    """[F6]"""
+    return explore.numeric_properties(triples(spark, sf_dir, "customer", "part", "orders"))
+
+
+@query(f"""WITH g AS ({_data_sql('nation', 'part', types=True)}), s AS (SELECT *, {' + '.join(f"CAST(contains(lower({c}), '{w}') AS INT)" for w in ("nation", "an", "steel") for c in ("subject", "object"))} AS score FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, predicate, object) AS rank FROM s WHERE score > 0) SELECT subject, predicate, object, score FROM r WHERE rank = 1 ORDER BY score DESC, subject LIMIT 20""")
+def token_overlap_topk(spark, sf_dir):
+    """[F7]"""
+    return explore.token_overlap(triples(spark, sf_dir, "nation", "part"), "Nation an steel", 20)
+
+
+@query("SELECT vec_id FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings) ORDER BY c DESC, vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    """[T7 C22]"""
+    vectors = commerce.source(spark, sf_dir, "embeddings")
+    return explore.vector_top_k(vectors, "vec_id", "embedding", vectors.where("vec_id = 0").first().embedding).select("vec_id")
+
+
+@query()
+def lineage_triples(spark, sf_dir):
+    """[F5 P14] times and run ids differ from run to run."""
+    return explore.lineage(meta.provenance(spark, {n: f"{sf_dir}/{n}.parquet" for n in commerce.TABLES}, NS))
+
+
+@query()
+def catalog_triples(spark, sf_dir):
+    """[P12]"""
+    return meta.catalog(spark, {n: f"{sf_dir}/{n}.parquet" for n in commerce.TABLES}, NS, "commerce")
+
+
+# --- resolution --------------------------------------------------------------------------------------------------------
+def _sides(spark, sf_dir):
+    a, b = commerce.table(spark, sf_dir, "customer"), commerce.table(spark, sf_dir, "supplier")
+    nations = commerce.source(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    one = a.df.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.lit("Firm "), F.col("c_custkey") % 97, F.lit(" "), "n_name").alias("label"))
+    two = b.df.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("FIRM "), F.col("s_suppkey") % 97, F.lit(" "), F.initcap(F.lower("n_name"))).alias("label"))
+    return C.Table("customer", one, "Customer", "c_custkey"), C.Table("supplier", two, "Supplier", "s_suppkey")
+
+
+_SIDE_A = "(SELECT c_custkey, 'Firm ' || (c_custkey % 97) || ' ' || n_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+@query(f"SELECT DISTINCT 'c_nationkey' AS \"column\", CAST(c_nationkey AS VARCHAR) AS value FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def resolve_exact(spark, sf_dir):
+    """[J2]"""
+    a, b = commerce.table(spark, sf_dir, "customer"), commerce.table(spark, sf_dir, "supplier")
+    return resolve.exact(a, b, [("c_nationkey", "s_nationkey")])
+
+
+@query(f"SELECT DISTINCT lower(label) AS sound FROM {_SIDE_A} WHERE lower(label) IN (SELECT lower('firm ' || (s_suppkey % 97) || ' ' || n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
+def resolve_phonetic_lower(spark, sf_dir):
+    """[J4]"""
+    a, b = _sides(spark, sf_dir)
+    return resolve.phonetic(a, b, ("label", "label")).select("sound").distinct()
+
+
+@query()
+def resolve_fuzzy(spark, sf_dir):
+    """[J3] tested against all pairs."""
+    a, b = _sides(spark, sf_dir)
+    return resolve.fuzzy(a, b, ("label", "label"))
+
+
+@query(f"SELECT DISTINCT {_C} AS subject, '{terms.SAME_AS}' AS predicate, {_SU} AS object FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_mktsegment = 'BUILDING'")
+def same_as_links(spark, sf_dir):
+    """[C9]"""
+    a, b = commerce.table(spark, sf_dir, "customer"), commerce.table(spark, sf_dir, "supplier")
+    a = C.Table("customer", a.df.where("c_mktsegment = 'BUILDING'"), "Customer", "c_custkey")
+    matches = resolve.exact(a, b, [("c_nationkey", "s_nationkey")]).select(F.col("value").alias("a_value"), F.col("value").alias("b_value"))
+    return resolve.same_as(a, b, ("c_nationkey", "s_nationkey"), matches, NS).select("subject", "predicate", "object")
+
+
+# --- versions ----------------------------------------------------------------------------------------------------------
+def _old_new(spark, sf_dir):
+    c = commerce.table(spark, sf_dir, "customer")
+    make = lambda df: C.table_triples(C.Table("customer", df, "Customer", "c_custkey", c.properties), NS)
+    return make(c.df.where("c_custkey % 7 <> 0")), make(c.df.where("c_custkey % 5 <> 0").withColumn("c_mktsegment", F.expr("if(c_custkey % 11 = 0, 'NEW', c_mktsegment)")))
+
+
+_OLD = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 7 <> 0"
+_NEW = "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 5 <> 0"
+
+
+def _version_sql(rows: str) -> str:
+    return " UNION ALL ".join(f"SELECT {_C} AS subject, '{p}' AS predicate, {o} AS object FROM ({rows})" for p, o in ((f"{NS}#segment", "c_mktsegment"),))
+
+
+@query(f"({_version_sql(_NEW)}) EXCEPT ({_version_sql(_OLD)})")
+def snapshot_added(spark, sf_dir):
+    """[X2 J9]"""
+    old, new = _old_new(spark, sf_dir)
+    return versions.added(old, new).where(F.col("predicate") == f"{NS}#segment")
+
+
+@query(f"({_version_sql(_OLD)}) EXCEPT ({_version_sql(_NEW)})")
+def snapshot_removed(spark, sf_dir):
+    """[X2]"""
+    old, new = _old_new(spark, sf_dir)
+    return versions.added(new, old).where(F.col("predicate") == f"{NS}#segment")
+
+
+@query(f"SELECT {_C} AS subject, '{NS}#segment' AS predicate FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 11 = 0")
+def snapshot_modified(spark, sf_dir):
+    """[X3]"""
+    return versions.modified(*_old_new(spark, sf_dir))
+
+
+@query("SELECT CAST(coalesce(sum(CASE WHEN c_custkey % 11 = 0 THEN 3 * 2 ELSE 4 * 3 END), 0) AS BIGINT) AS modified FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0")
+def snapshot_unchanged_pairs(spark, sf_dir):
+    """[X3]"""
+    return versions.unchanged_pairs(*_old_new(spark, sf_dir))
+
+
+@query()
+def fingerprint(spark, sf_dir):
+    """[I1] xxhash64 is not in SQL; the tests hold it against changed content."""
+    return versions.fingerprint(commerce.source(spark, sf_dir, "customer"))
+
+
+# --- exports -----------------------------------------------------------------------------------------------------------
+@query(f"""SELECT '<' || subject || '> <' || predicate || '> ' || CASE WHEN is_iri THEN '<' || object || '>' ELSE '"' || replace(replace(object, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"^^<' || datatype || '>' END || ' .' AS value FROM ({_data_sql('nation', 'part', types=True)})""")
+def export_ntriples(spark, sf_dir):
+    """[K2 K5]"""
+    return export.ntriples(triples(spark, sf_dir, "nation", "part"))
+
+
+@query(f"SELECT '<{NS}/Region/' || r_regionkey || '> schema:name \"' || r_name || '\" .' || chr(10) AS value FROM region UNION ALL SELECT '<{NS}/Region/' || r_regionkey || '> rdf:type <{NS}#Region> .' || chr(10) FROM region")
+def export_turtle(spark, sf_dir):
+    """[K1 K5]"""
+    return export.turtle(triples(spark, sf_dir, "region"))
+
+
+@query(f"""SELECT '<rdf:Description rdf:about="{NS}/Region/' || r_regionkey || '"><p:name xmlns:p="{S}" rdf:datatype="{X}string">' || replace(r_name, '&', '&amp;') || '</p:name></rdf:Description>' AS value FROM region""")
+def export_rdfxml(spark, sf_dir):
+    """[K4 K6]"""
+    return export.rdfxml(C.table_triples(commerce.table(spark, sf_dir, "region"), NS))
+
+
+@query(f"""SELECT '{{"@id":"{NS}/Region/' || r_regionkey || '","{S}name":[{{"@value":"' || r_name || '","@type":"{X}string"}}]}}' AS value FROM region""")
+def jsonld_nodes(spark, sf_dir):
+    """[K3]"""
+    return export.jsonld(C.table_triples(commerce.table(spark, sf_dir, "region"), NS))
+
+
+# --- policies ----------------------------------------------------------------------------------------------------------
+@query("SELECT c_custkey, CASE WHEN contains(lower(c_mktsegment), 'build') THEN '[REDACTED]' ELSE c_mktsegment END AS c_mktsegment, '[REDACTED]' AS c_name FROM customer")
+def redacted_rows(spark, sf_dir):
+    """[F13]"""
+    return policy.redact(commerce.source(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name"), ["build", "c_name"])
+
+
+@query("SELECT c_custkey, CASE WHEN contains(c_mktsegment, 'BUILD') THEN NULL WHEN contains(c_mktsegment, 'MACH') THEN '[MASKED]' ELSE c_mktsegment END AS c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100")
+def role_masked_rows(spark, sf_dir):
+    """[F14 T4]"""
+    role = policy.Role(denied_terms=["BUILD", "c_name"], masked_terms=["MACH"], max_rows=100)
+    return role.filter_rows(commerce.source(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name").orderBy("c_custkey"))
+
+
+# --- streaming ---------------------------------------------------------------------------------------------------------
+@query(f"SELECT '{NS}/Event/' || event_id AS subject, '{NS}/event_type' AS predicate, event_type AS object FROM events UNION ALL SELECT '{NS}/Event/' || event_id, '{R}', '{NS}#Event' FROM events")
+def stream_append_triples(spark, sf_dir):
+    """[2.11, an extension] Structured Streaming through the batch operators."""
+    import uuid
+
+    from ..streaming import append
 
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    schema = commerce.source(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "event_type")
+    append.append(C.Table("events", rows, "Event", "event_id", {"event_type": f"{NS}/event_type"}), NS, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("subject", "predicate", "object")
