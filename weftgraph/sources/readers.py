@@ -24,7 +24,7 @@ def connectors() -> list[str]:
 
 
 def _csv(spark, source, **options):
-    return spark.read.csv(source, **({"header": True, "inferSchema": True, "preferDate": True} | options))
+    return spark.read.options(**({"header": True, "inferSchema": True, "preferDate": True} | options)).csv(source)
 
 
 for _name, _reader in {
