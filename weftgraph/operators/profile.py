@@ -33,12 +33,19 @@ def broken(triples: DataFrame) -> DataFrame:
     return references(triples).join(triples.select(F.col("subject").alias("iri")), "iri", "left_anti")
 
 
-def profile(triples: DataFrame, approximate: bool = False) -> DataFrame:
-    """A4 to A6, one row: all nine measures. ``approximate`` counts distinct terms by sketches."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+def profile(triples: DataFrame) -> DataFrame:
+    """A4 to A6, one row: all nine measures, exactly.
+
+    Terms are gathered once, each with whether it is a subject, an object, a reference; so distinct counts, unreferenced subjects
+    and broken references need one shuffle of pre-aggregated terms instead of one for each."""
     is_type = F.col("predicate") == RDF_TYPE
-    one = triples.agg(
-        F.count("*").alias("total_triples"), distinct("subject").alias("unique_subjects"), distinct("predicate").alias("unique_predicates"), distinct("object").alias("unique_objects"),
-        distinct(F.when(is_type, F.col("object"))).alias("entity_types"), F.count_if(F.col("is_iri") & ~is_type).alias("relationship_edges"), distinct(F.when(~F.col("is_iri"), F.col("predicate"))).alias("literal_columns"),
+    edge = F.col("is_iri") & ~is_type
+    ends = F.explode(F.array(F.struct(F.col("subject").alias("term"), F.lit(True).alias("s"), F.lit(False).alias("o"), F.lit(False).alias("r")), F.struct(F.col("object").alias("term"), F.lit(False).alias("s"), F.lit(True).alias("o"), edge.alias("r"))))
+    of_terms = triples.select(ends.alias("e")).groupBy("e.term").agg(*(F.max(f"e.{c}").alias(c) for c in "sor"))
+    nodes = of_terms.agg(F.count_if("s").alias("unique_subjects"), F.count_if("o").alias("unique_objects"), F.count_if(F.col("s") & ~F.col("r")).alias("orphan_entities"), F.count_if(F.col("r") & ~F.col("s")).alias("broken_references"))
+    kinds = triples.groupBy("predicate", "is_iri", F.when(is_type, F.col("object")).alias("class")).agg(F.count("*").alias("n"))
+    counts = kinds.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_triples"), F.count_distinct("predicate").alias("unique_predicates"), F.count_distinct("class").alias("entity_types"),
+        F.coalesce(F.sum(F.when(edge, F.col("n"))), F.lit(0)).alias("relationship_edges"), F.count_distinct(F.when(~F.col("is_iri"), F.col("predicate"))).alias("literal_columns"),
     )
-    return one.join(unreferenced(triples).agg(F.count("*").alias("orphan_entities"))).join(broken(triples).agg(F.count("*").alias("broken_references")))
+    return counts.crossJoin(nodes)  # one row each

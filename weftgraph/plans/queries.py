@@ -205,7 +205,7 @@ def broken_references(spark, sf_dir):
     return profile.broken(C.graph([some, commerce.table(spark, sf_dir, "orders")], [], NS, spark))
 
 
-@query(f"SELECT count(*) AS triples, 0 AS empty_subjects, 0 AS empty_predicates, count(DISTINCT subject) AS subjects FROM ({_ALL})")
+@query(f"SELECT count(*) AS triples, CAST(0 AS BIGINT) AS empty_subjects, CAST(0 AS BIGINT) AS empty_predicates, count(DISTINCT subject) AS subjects FROM ({_ALL})")
 def triple_sanity(spark, sf_dir):
     """[A11]"""
     return validate.check_triples(whole(spark, sf_dir))
@@ -225,7 +225,7 @@ def validate_fk_orphans(spark, sf_dir):
     return validate.orphans(commerce.source(spark, sf_dir, "orders"), "o_custkey", commerce.source(spark, sf_dir, "customer").where("c_custkey % 10 <> 0"), "c_custkey")
 
 
-@query("SELECT 'o_orderkey' AS \"column\", count(*) AS rows, 0 AS nulls, CAST(0 AS DOUBLE) AS null_rate FROM orders UNION ALL SELECT 'p', count(*), count(*) - count(nullif(o_orderpriority, '5-LOW')), 1 - count(nullif(o_orderpriority, '5-LOW')) / count(*) FROM orders")
+@query("SELECT 'o_orderkey' AS \"column\", count(*) AS rows, CAST(0 AS BIGINT) AS nulls, CAST(0 AS DOUBLE) AS null_rate FROM orders UNION ALL SELECT 'p', count(*), count(*) - count(nullif(o_orderpriority, '5-LOW')), 1 - count(nullif(o_orderpriority, '5-LOW')) / count(*) FROM orders")
 def validate_nulls(spark, sf_dir):
     """[A1 A3 A10]"""
     return validate.profile(commerce.source(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p")))
