@@ -287,7 +287,10 @@ ask("sparql_path_seq", "SELECT ?o ?r WHERE { ?o ex:placedBy/ex:inNation/ex:inReg
 ask("sparql_path_inverse", "SELECT ?n ?c WHERE { ?n ^ex:inNation ?c ; schema:name \"FRANCE\" }", f"SELECT {_N} AS n, {_C} AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'FRANCE'")
 ask("sparql_path_alt", "SELECT ?x ?n WHERE { ?x ex:inNation|ex:basedIn ?n }", f"SELECT {_C} AS x, '{NS}/Nation/' || c_nationkey AS n FROM customer UNION ALL SELECT {_SU}, '{NS}/Nation/' || s_nationkey FROM supplier")
 ask("sparql_path_plus", "SELECT ?a ?b WHERE { ?a (ex:inRegion|ex:hasNation)+ ?b }", f"WITH RECURSIVE e AS (SELECT {_N} AS a, '{NS}/Region/' || n_regionkey AS b FROM nation UNION SELECT '{NS}/Region/' || n_regionkey, {_N} FROM nation), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a, b FROM p")
-ask("sparql_path_star", "SELECT ?b WHERE { ex:nobody ex:inRegion* ?b } ", None)
+_HOPS = f"e AS (SELECT {_N} AS a, '{NS}/Region/' || n_regionkey AS b FROM nation UNION SELECT '{NS}/Region/' || n_regionkey, {_N} FROM nation)"
+ask("sparql_path_star", f"SELECT ?b WHERE {{ <{NS}/Nation/3> (ex:inRegion|ex:hasNation)* ?b }}", f"WITH RECURSIVE {_HOPS}, p AS (SELECT '{NS}/Nation/3' AS b UNION SELECT e.b FROM p JOIN e ON p.b = e.a) SELECT b FROM p")
+ask("sparql_path_plus_to", f"SELECT ?a WHERE {{ ?a (ex:placedBy/ex:inNation/ex:inRegion)+ <{NS}/Region/1> }}", f"SELECT {_O} AS a FROM {_JOIN} JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
+ask("sparql_path_optional_step", f"SELECT ?b WHERE {{ <{NS}/Nation/3> ex:inRegion? ?b }}", f"SELECT '{NS}/Nation/3' AS b UNION SELECT '{NS}/Region/' || n_regionkey FROM nation WHERE n_nationkey = 3")
 ask("sparql_variable_predicate", f"SELECT ?p ?o WHERE {{ <{NS}/Nation/3> ?p ?o }}", f"SELECT DISTINCT predicate AS p, object AS o FROM ({_ALL}) WHERE subject = '{NS}/Nation/3'")
 ask("sparql_ask", 'ASK { ?c ex:segment "BUILDING" . ?o ex:placedBy ?c }', f"SELECT count(*) > 0 AS result FROM {_JOIN} WHERE c_mktsegment = 'BUILDING'")
 ask("sparql_construct", "CONSTRUCT { ?c ex:buysIn ?n . ?n ex:soldTo ?c } WHERE { ?o ex:placedBy ?c . ?c ex:inNation ?n }", f"WITH p AS (SELECT DISTINCT {_C} AS c, '{NS}/Nation/' || c_nationkey AS n FROM {_JOIN}) SELECT c AS subject, '{NS}#buysIn' AS predicate, n AS object, true AS is_iri, '' AS datatype, '' AS lang FROM p UNION ALL SELECT n, '{NS}#soldTo', c, true, '', '' FROM p")

@@ -325,6 +325,8 @@ class Compiler:
     def pattern(self, p: Triple) -> Solutions:
         if isinstance(p.p, Var):
             rows, known = self.data.scan(None), [(p.p, term(F.col("p"), True))]
+        elif isinstance(p.p, Path) and p.p.op in ("plus", "star") and (isinstance(p.s, Term) or isinstance(p.o, Term)):
+            rows, known = self.reachable(p.p, p.s, p.o), []
         else:
             rows, known = self.path(p.p), []
         iri = term(F.col("s"), True) if dict(rows.dtypes)["s"] == "string" else F.col("s")
@@ -339,6 +341,18 @@ class Compiler:
                 bound[x.name] = value
         return Solutions(rows.where(keep).select(*(c.alias(n) for n, c in bound.items())))
 
+    def reachable(self, p: Path, s, o) -> DataFrame:
+        """(s, o) of a closure with a constant end: only what that end reaches is followed, never all pairs. A path of
+        no steps leads from the constant to itself, whether or not the graph knows it."""
+        forward = isinstance(s, Term)
+        start = s if forward else o
+        edges = self.path(p.args[0]).select(self._as_term("s", p.args[0]), "o").distinct()
+        edges = edges if forward else edges.select(F.col("o").alias("s"), F.col("s").alias("o"))
+        out = closure(edges, edges.where(matches(F.col("s"), start)))
+        if p.op == "star":
+            out = out.union(self.spark.range(1).select(constant(start).alias("s"), constant(start).alias("o"))).distinct()
+        return out if forward else out.select(F.col("o").alias("s"), F.col("s").alias("o"))
+
     def path(self, p) -> DataFrame:
         """(s, o) of a path; s a string for a plain predicate, a term for all else."""
         if isinstance(p, Term):
@@ -422,11 +436,11 @@ class Compiler:
         return Solutions(out, set(out.columns))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """One or more steps along (s, o): rounds that extend only the pairs new in the round before, until there are none.
-    Every round is settled in the shared folder, so that lineage stays short; cycles end since known pairs are not new."""
+def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """One or more steps along (s, o), from ``seeds`` among the edges or from all: rounds that extend only the pairs new in the
+    round before, until there are none. Every round is settled in the shared folder, so that lineage stays short; cycles end since known pairs are not new."""
     settle = _settler(edges.sparkSession)
-    seen = fresh = settle(edges.distinct())
+    seen = fresh = settle((edges if seeds is None else seeds).distinct())
     for _ in range(MAX_ROUNDS):
         longer = fresh.select("s", F.col("o").alias("mid")).join(edges.select(F.col("s").alias("mid"), "o"), "mid").select("s", "o").distinct()
         fresh = settle(longer.join(seen, ["s", "o"], "left_anti"))
