@@ -28,6 +28,8 @@ MIN_ROWS, H, STEPS, QUANTILE = 200, 0.75, 4, 1 - 1e-7
 #: The plain limits: words a text needs, and the percentage of its words in repeated windows that it may have.
 MIN_WORDS, MAX_REPEATED = 50, 50
 GRID = 1024
+#: Estimates that are broadcast at most (about 0.5 KB each).
+BROADCAST_GROUPS = 20_000
 #: The statistics, and the least deviation of each that counts, so that one without spread does not reject all else.
 FLOORS = {"word_length": 0.06, "symbols": 0.15, "repeated_lines": 0.16, "repeated_words": 0.14, "punctuation": 0.12, "capitals": 0.20, "digits": 0.20}
 
@@ -81,7 +83,7 @@ def measured(docs: DataFrame, name: str, keep: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            stats = pa.array([measure(t) for t in b.column(len(keep)).to_pylist()], _MEASURED)
+            stats = pa.array([measure(b.column(len(keep))[i].as_py()) for i in range(b.num_rows)], _MEASURED)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), stats], names)
 
     schema = rows.drop(spare).schema.add(name, DataType.fromDDL(_MEASURED_SQL))
@@ -191,8 +193,9 @@ def fit(stats: DataFrame) -> DataFrame:
 def judged(rows: DataFrame, name: str, estimates: DataFrame, verdict: str) -> DataFrame:
     """``rows`` (with lang, source and the struct ``name``) and a boolean ``verdict``: whether the text is kept."""
     p, m = len(FLOORS), F.col(name)
-    plain = ["key", "centre", "inverse"]
-    known = estimates.select(F.struct(*plain).alias("e"))
+    # the number of groups is counted: few are broadcast, so that rows with texts stay where they are
+    known = estimates.select(F.struct("key", "centre", "inverse").alias("e"))
+    known = F.broadcast(known) if estimates.count() <= BROADCAST_GROUPS else known
     out = rows
     picks = []
     for level in range(3):
