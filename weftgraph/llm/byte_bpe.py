@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import table, text_rows
 
 #: Entries of the memo and the longest pre-token that it keeps; rows handled at a time; the most vocabulary entries.
-MEMO, MEMO_CHARS, SLICE, MAX_VOCABULARY = 400_000, 40, 500, 1_000_000
+MEMO, MEMO_CHARS, SLICE, MAX_VOCABULARY = 150_000, 40, 500, 1_000_000
 #: The characters with the property White_Space, as a class's inside.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Texts with characters below this only are cut by the quicker of the two pattern engines.

@@ -45,7 +45,9 @@ def text_rows(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"), *more)
 
 
-def batches_as_lists(batches: Iterable, *names: str):
-    """Arrow batches as tuples of Python lists."""
+def batches_as_lists(batches: Iterable, *names: str, rows: int = 1000):
+    """Arrow batches as tuples of Python lists of some rows at a time."""
     for b in batches:
-        yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
+        for at in range(0, b.num_rows, rows):
+            part = b.slice(at, rows)
+            yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
