@@ -55,6 +55,17 @@ def test_matches_brute_force_and_sql(spark):
     assert sorted(con.execute(m.SQL).fetchall(), key=str) == got
 
 
+def test_a_known_sentence_counts_whatever_stands_between_its_words(spark):
+    texts = ["All rights\nreserved.", "All rights  reserved.", "all rights\treserved", "All rights\u00a0reserved.", "All\r\nrights -- reserved!", "ALL RIGHTS *RESERVED*", "all rights re served", "reserved"]
+    got = sorted(tuple(r) for r in m.recognised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == [(i, *brute(t)) for i, t in enumerate(texts)]
+    assert [r[1] for r in got] == ["", "reserved", "reserved", "reserved", "", "reserved", "", ""]
+    assert [r[2] for r in got] == ["Proprietary"] * 6 + ["", ""]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(list(enumerate(texts)), columns=["doc_id", "text"]))
+    assert sorted(con.execute(m.SQL).fetchall()) == got
+
+
 def test_native_plan_and_empty_table(spark):
     out = m.recognised(spark.createDataFrame([], "doc_id long, text string"))
     assert out.count() == 0

@@ -11,6 +11,8 @@ looked through once and no more.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +61,13 @@ RULES = [
     ("MIT-0", ["mit-grant", "mit-warranty"]),
     ("Proprietary", ["reserved"]),
 ]
-#: Of these each known sentence holds one.
-TELLING = ["licen", "permi", "rights reserved", "notice", "warrant", "redistribution"]
+#: Of these each known sentence holds one. None holds a blank, which stands for any run of other characters in a text.
+TELLING = ["licen", "permi", "reserved", "notice", "warrant", "redistribution"]
 #: What ends a sentence in the two readings.
 ENDS = {"lines": r"[.!?;]+[ \t\r\n]+|[.!?;]+$|\n", "paragraphs": r"[.!?;]+[ \t\r\n]+|[.!?;]+$|:[ \t\r]*\n|\n[ \t\r]*\n"}
 
 assert all(any(w in s for w in TELLING) for own in SENTENCES.values() for s in own)
+assert all(re.fullmatch("[a-z0-9]+", w) for w in TELLING)
 _BY_SENTENCE = {s: i for i, own in SENTENCES.items() for s in own}
 
 
