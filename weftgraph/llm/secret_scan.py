@@ -2,8 +2,9 @@
 
 Base kinds are patterns (assignments to telling names, access keys, hex runs). The method adds ``random``: runs of 20 or more
 identifier characters are read by two character Markov models, one trained from samples labelled random and one from samples
-labelled ordinary (identifiers), and a run is a secret if the log-likelihood ratio of the two exceeds a threshold. A run inside
-a base span is not reported again.
+labelled ordinary (identifiers), and a run is a secret if the log-likelihood ratio of the two exceeds a threshold. Of any other
+run, the segments of 20 or more whose ratio exceeds it are, so that paths and names around a secret do not hide it. What is inside a
+base span is not reported again.
 
 Everything is one narrow projection over whole texts: pattern functions give the matches and the pieces between them, whose
 lengths add up to places. Cheap conditions that every match implies come first, so that most texts are read twice and no more.
@@ -29,7 +30,8 @@ NAMES = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _RUN = "[A-Za-z0-9+/_-]"
 #: A run of candidate characters; 20 is no more than any access key or hex run has.
-CANDIDATE = f"(?<!{_RUN}){_RUN}{{20,}}"
+LEAST = 20
+CANDIDATE = f"(?<!{_RUN}){_RUN}{{{LEAST},}}"
 #: What ordinary identifiers are made of, in the samples labelled ordinary.
 PARTS = (
     "get set is has new old max min num total count index value name type list map item user order customer account address number "
@@ -77,17 +79,68 @@ def ratios(samples: DataFrame) -> list[float]:
     return [math.log(chance[True][i][j] / chance[False][i][j]) for i in range(n) for j in range(n)]
 
 
-def _ratio(run: Column, table_: list[float]) -> Column:
-    """The log-likelihood ratio of a run of CHARACTERS."""
+def _steps(run: Column, table_: list[float]) -> Column:
+    """The log-likelihood ratio of each character of a run of CHARACTERS after the one before it."""
     by_code = [0] * 128
     for i, c in enumerate(CHARACTERS):
         by_code[ord(c)] = i
     codes = F.expr(f"cast(split('{','.join(map(str, by_code))}', ',') as array<int>)")
     values = F.expr(f"cast(split('{','.join(f'{x:.6f}' for x in table_)}', ',') as array<double>)")
-    at = F.transform(F.split(run, ""), lambda c: F.element_at(codes, F.ascii(c) + 1))
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("total"))
-    step = lambda s, i: F.struct(i.alias("last"), (s["total"] + F.when(s["last"] < 0, F.lit(0.0)).otherwise(F.element_at(values, s["last"] * len(CHARACTERS) + i + 1))).alias("total"))
-    return F.aggregate(at, start, step, lambda s: s["total"])
+    code = lambda c: F.element_at(codes, F.ascii(c) + 1)
+    before, after = F.split(F.substring(run, 1, F.length(run) - 1), ""), F.split(F.substring(run, 2, F.length(run)), "")
+    return F.zip_with(before, after, lambda a, b: F.element_at(values, code(a) * len(CHARACTERS) + code(b) + 1))
+
+
+def _ratio(run: Column, table_: list[float]) -> Column:
+    """The log-likelihood ratio of a run of CHARACTERS."""
+    return F.aggregate(_steps(run, table_), F.lit(0.0), lambda s, x: s + x)
+
+
+_PART = "array<struct<start: int, end: int>>"
+
+
+def _segments(run: Column, table_: list[float], threshold: float) -> Column:
+    """The secret parts (start, end) of a run: all of it if its ratio exceeds ``threshold``, else its best segments of LEAST or
+    more characters that do, from one ``/``, ``-`` or ``_`` to the next, and joined where they overlap.
+
+    ``sum`` is the best ratio of a segment that ends here: the last one made longer, or the last LEAST characters. A segment ends
+    at its highest place, once ``sum`` has fallen from there by ``threshold``; the next begins behind it."""
+    part = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    none, low, bar = F.expr(f"cast(array() as {_PART})"), F.lit(-1e9), F.lit(float(threshold))
+    zero = {"i": F.lit(0), "whole": F.lit(0.0), "window": F.lit(0.0), "sum": low, "from": F.lit(0), "top": bar, "start": F.lit(0), "end": F.lit(0), "least": F.lit(0), "done": none}
+    state = lambda values: F.struct(*(values[k].alias(k) for k in zero))
+    with_last = lambda s: F.when(s["top"] > bar, F.concat(s["done"], F.array(part(s["start"], s["end"])))).otherwise(s["done"])
+    named = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  # worked out once
+
+    def step(s, x):
+        begin, window, more = s["i"] - (LEAST - 2), s["window"] + x["new"] - x["old"], s["sum"] + x["new"]
+        again = (begin >= s["least"]) & ((s["top"] <= bar) | (begin < s["end"])) & (window >= more)
+
+        def then(n):
+            over, higher = (s["top"] > bar) & (n["sum"] <= s["top"] - bar), n["sum"] > s["top"]
+            return state({
+                "i": s["i"] + 1, "whole": s["whole"] + x["new"], "window": n["window"], "sum": F.when(over, low).otherwise(n["sum"]), "from": n["from"],
+                "top": F.when(over, bar).otherwise(F.greatest(s["top"], n["sum"])), "start": F.when(higher, n["from"]).otherwise(s["start"]),
+                "end": F.when(higher, s["i"] + 2).otherwise(s["end"]), "least": F.when(over, s["end"]).otherwise(s["least"]), "done": F.when(over, with_last(s)).otherwise(s["done"]),
+            })
+
+        return named(F.struct(window.alias("window"), F.when(again, window).otherwise(more).alias("sum"), F.when(again, begin).otherwise(s["from"]).alias("from")), then)
+
+    both = lambda v: F.zip_with(v, F.slice(F.concat(F.array_repeat(F.lit(0.0), LEAST - 1), v), F.lit(1), F.size(v)), lambda a, b: F.struct(a.alias("new"), b.alias("old")))
+    whole = F.array(part(F.lit(0), F.length(run)))
+    found = F.aggregate(named(_steps(run, table_), both), state(zero), step, lambda s: F.when(s["whole"] > bar, whole).otherwise(with_last(s)))
+    even = F.translate(run, "-_", "//")
+
+    def pieces(p):
+        head, tail = F.substring(even, F.lit(1), p["start"] + 1), F.substring(even, p["end"], F.length(run))
+        return F.when((p["start"] == 0) & (p["end"] == F.length(run)), p).otherwise(part(p["start"] + 1 - F.length(F.substring_index(head, "/", -1)), p["end"] - 1 + F.length(F.substring_index(tail, "/", 1))))
+
+    def join(s, p):
+        last = F.get(s, F.size(s) - 1)
+        joined = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(part(F.least(last["start"], p["start"]), F.greatest(last["end"], p["end"]))))
+        return F.when(last["end"] > p["start"], joined).otherwise(F.concat(s, F.array(p)))
+
+    return F.aggregate(F.transform(found, pieces), none, join)
 
 
 _SPAN = "array<struct<start: int, rank: int, end: int, kind: string>>"
@@ -128,8 +181,11 @@ def with_spans(docs: DataFrame, name: str, table_: list[float], text: str = "tex
         parts.append(F.when(when, _placed(t, pattern, kind, rank, good)).otherwise(none))
     base, more = f"{name}_base", f"{name}_more"
     out = out.withColumn(base, F.array_sort(F.concat(*parts)))
-    good = F.transform(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), lambda m: _ratio(m, table_) > threshold)
-    out = out.withColumn(more, F.when(F.col(runs), _placed(t, CANDIDATE, "random", len(KINDS), good)).otherwise(none))
+    found = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
+    placed = _placed(t, CANDIDATE, "random", len(KINDS), F.transform(found, lambda m: F.lit(True)))
+    inside = lambda s, p: F.struct((s["start"] + p["start"]).alias("start"), s["rank"].alias("rank"), (s["start"] + p["end"]).alias("end"), s["kind"].alias("kind"))
+    secret = F.flatten(F.zip_with(placed, found, lambda s, m: F.transform(_segments(m, table_, threshold), lambda p: inside(s, p))))
+    out = out.withColumn(more, F.when(F.col(runs), secret).otherwise(none))
     fresh = F.filter(F.col(more), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return out.withColumn(name, F.array_sort(F.concat(F.col(base), fresh))).drop(flags, runs, base, more)
 
