@@ -122,7 +122,7 @@ class _Grams:
         words = np.frombuffer(row["vocabulary"], np.uint64)
         self.start = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~self.held, self.lengths)
-        self.keys, self.at, self.own = [], [], []
+        self.keys, self.at, self.own, self.size = [], [], [], []
         keys, number = np.unique(_mix(words, 1), return_inverse=True)
         self._add(keys, number.astype(np.int32)[tokens])
         hash_, earlier, end = _mix(words, 1)[tokens], words[tokens], np.uint64(xxhash.xxh64_intdigest(END))
@@ -135,7 +135,8 @@ class _Grams:
     def _add(self, keys: np.ndarray, at: np.ndarray) -> None:
         self.keys.append(keys)
         self.at.append(at)
-        self.own.append(np.bincount(at[self.train], minlength=len(keys)).astype(np.int64))
+        self.size.append(len(keys))
+        self.own.append(np.bincount(at[self.train], minlength=len(keys)).astype(np.int32))
 
     def before(self, values: np.ndarray, first) -> np.ndarray:
         """By position the value one position earlier in its text, ``first`` where a text starts."""
@@ -146,7 +147,7 @@ class _Grams:
 
     def of_gram(self, k: int, values: np.ndarray) -> np.ndarray:
         """By n-gram of order k what ``values`` says at its positions (the same at all of them)."""
-        out = np.empty(len(self.keys[k - 1]), values.dtype)
+        out = np.empty(self.size[k - 1], values.dtype)
         out[self.at[k - 1]] = values
         return out
 
@@ -163,7 +164,7 @@ def _cuts(keys: np.ndarray, cells: int) -> np.ndarray:
 def _messages(source: int, order: int, keys: np.ndarray, counts: np.ndarray, many: np.ndarray, cells: int) -> list[dict]:
     """One message to each hash range that has any of the sorted ``keys``; many: those known to be held by two blocks or more."""
     cut = _cuts(keys, cells)
-    return [{"cell": r, "source": source, "order": order, "keys": _pack(keys[i:j], ascending=True), "counts": _pack(counts[i:j]), "many": _pack(many[i:j])} for r, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+    return [{"cell": r, "source": source, "order": order, "keys": _pack(keys[i:j], ascending=True), "counts": _pack(counts[i:j].astype(np.int64)), "many": _pack(many[i:j])} for r, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
 
 
 def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
@@ -234,7 +235,7 @@ def exchange(sent: DataFrame, groups: int, ranges: int) -> DataFrame:
 def _with_answers(g: _Grams, answers: list[dict], order: int, asked: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(counts in all training texts, held by other blocks too?) of a block's n-grams of an order, of which ``asked`` were sent."""
     rows = sorted((a for a in answers if a["order"] == order), key=lambda a: a["cell"])
-    total, shared = g.own[order - 1].copy(), np.zeros(len(g.keys[order - 1]), bool)
+    total, shared = g.own[order - 1].astype(np.int64), np.zeros(g.size[order - 1], bool)
     at = slice(None) if asked is None else np.flatnonzero(asked)
     if rows:
         total[at] += np.concatenate([_unpack(a["more"], np.int64) for a in rows])
@@ -295,12 +296,12 @@ def compiled(g: _Grams, totals: list[np.ndarray], n_train: int, n_known: int) ->
     order = len(totals)
     ends = int(totals[0][g.at[0][g.start[0] + g.lengths[0] - 1]])  # training texts: how often each context of end tokens was seen
     # states: the root, the n-grams of orders 1 to order - 1 that were seen, the end tokens of orders 2 and more
-    number, length, fail, fail_weight = [], [np.zeros(1, np.int8)], [np.zeros(1, np.int64)], [np.zeros(1)]
+    number, length, fail, fail_weight = [], [np.zeros(1, np.int8)], [np.zeros(1, np.int32)], [np.zeros(1)]
     at = 1
     for k in range(1, order):
         seen = totals[k - 1] > 0
-        own = np.where(seen, at + np.cumsum(seen) - 1, -1)
-        shorter = np.zeros(len(own), np.int64) if k == 1 else number[k - 2][g.of_gram(k, g.at[k - 2])]
+        own = np.where(seen, at + np.cumsum(seen, dtype=np.int32) - 1, -1).astype(np.int32)
+        shorter = np.zeros(len(own), np.int32) if k == 1 else number[k - 2][g.of_gram(k, g.at[k - 2])]
         c = totals[k - 1][seen]
         number.append(own)
         length.append(np.full(len(c), k, np.int8))
@@ -312,20 +313,29 @@ def compiled(g: _Grams, totals: list[np.ndarray], n_train: int, n_known: int) ->
         start = int(number[0][g.at[0][g.start[0] + g.lengths[0] - 1]])
         for k in range(2, order):
             length.append(np.array([k], np.int8))
-            fail.append(np.array([start]))
+            fail.append(np.array([start], np.int32))
             spare = _spare(np.array([ends]))
             fail_weight.append(np.log10(spare / (ends + spare)))
             start, at = at, at + 1
-    # arcs
+    # arcs; large arrays are changed in place
     p = (totals[0] + 0.1) / (n_train + 0.1 * (n_known + 1))
-    arc, target = [np.log10(p)], [np.maximum(number[0], 0) if order > 1 else np.zeros(len(p), np.int64)]
+    arc, target = [np.log10(p)], [np.maximum(number[0], 0) if order > 1 else np.zeros(len(p), np.int32)]
     for k in range(2, order + 1):
         suffix = g.of_gram(k, g.at[k - 2])
+        target.append(number[k - 1] if k < order else np.maximum(number[k - 2][suffix], 0))
+        p = p[suffix]
+        del suffix
         c = g.of_gram(k, g.before(totals[k - 2][g.at[k - 2]], ends))
         m = _spare(c)
-        p = np.where(c > 0, (totals[k - 1] + m * p[suffix]) / np.maximum(c + m, 1e-300), p[suffix])
-        arc.append(np.where(totals[k - 1] > 0, np.log10(p), np.nan))
-        target.append(number[k - 1] if k < order else np.maximum(number[k - 2][suffix], 0))
+        p *= m
+        p += totals[k - 1]
+        m += c
+        # a context without a state has no arc
+        m[c == 0] = 1.0
+        p /= m
+        del c, m
+        weight = np.full(len(p), np.nan)
+        arc.append(np.log10(p, out=weight, where=totals[k - 1] > 0))
     return Automaton(np.concatenate(length), np.concatenate(fail), np.concatenate(fail_weight), arc, target, start)
 
 
@@ -409,6 +419,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, order: int = 3, block_tokens: in
         for row in left.to_pylist():
             g = _Grams(row, order)
             totals = replayed(g, answers, order)[0]
+            del g.own, g.keys
             automaton = compiled(g, totals, n_train, n_known)
             ids, by_text = np.frombuffer(row["ids"], np.int64).reshape(-1, 2), lambda x: np.add.reduceat(x[g.at[0]], g.start)  # noqa: B023
             out.append(pa.table({
