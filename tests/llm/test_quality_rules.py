@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import re
@@ -28,41 +29,104 @@ def test_counts_match_brute_force():
         assert [m[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == brute_counts(t), t
 
 
-def brute_mcd(x):
-    """The same start and steps on a matrix of rows, without sums by class: (centre, inverse)."""
-    floors = np.array(list(q.FLOORS.values())) * q.GRID
-    low = np.floor_divide(np.abs(x), 8) * np.sign(x) * 8.0  # toward zero, as div does
+def brute_starts(x):
+    """Medians and spreads, and the scatters that they make with no, sign and tanh correlations."""
+    low = np.trunc(np.abs(x) / 8) * np.sign(x) * 8.0  # toward zero, as div does
     half = lambda v: np.sort(v)[math.ceil(len(v) / 2) - 1]
     centre = np.array([half(low[:, i]) for i in range(P)])
-    spread = np.array([1.4826 * half(np.abs(low[:, i] - centre[i])) for i in range(P)])
-    inverse = np.diag(1 / (spread**2 + floors**2))
-    for _ in range(q.STEPS):
-        d = x - centre
-        c = np.floor(32 * np.log2(1 + np.einsum("ri,ij,rj->r", d, inverse, d)))
-        need = max(P + 1, math.ceil(q.H * len(x)))
-        own = x[c <= np.sort(c)[min(len(c), need) - 1]]
-        centre = own.mean(axis=0)
-        inverse = np.linalg.inv(np.cov(own.T, bias=True) * q._inflation(P) + np.diag(floors**2))
-    return centre, inverse
+    floors = np.array(list(q.FLOORS.values())) * q.GRID
+    spread = np.array([math.hypot(1.4826 * half(np.abs(low[:, i] - centre[i])), floors[i]) for i in range(P)])
+    z = (x - centre) / spread
+    out = [np.diag(spread**2)]
+    for u in (z / np.sqrt((z * z).sum(axis=1, keepdims=True) + 1e-12), np.tanh(z)):
+        m = np.array([[np.rint(u[:, i] * u[:, j] * 2**20).sum() for j in range(P)] for i in range(P)]) + np.eye(P)
+        out.append(m / np.sqrt(np.outer(np.diag(m), np.diag(m))) * np.outer(spread, spread))
+    return [(centre, s + np.diag(floors**2)) for s in out]
+
+
+def brute_step(x, centre, scatter, target):
+    d = x - centre
+    c = np.floor(32 * np.log2(1 + np.maximum(np.einsum("ri,ij,rj->r", d, np.linalg.inv(scatter), d), 0)))
+    wanted, weight = math.ceil(q.H * len(x)), np.zeros(len(x))
+    for k in np.unique(c):
+        weight[c == k] = min(1.0, max(0.0, (wanted - (c < k).sum()) / (c == k).sum()))
+    mean = weight @ x / wanted
+    inner = (weight[:, None] * (x - mean)).T @ (x - mean) / wanted * q._inflation(P)
+    if target is not None:
+        own = len(x) / (len(x) + q.PRIOR)
+        mean, inner = own * mean + (1 - own) * target[0], own * inner + (1 - own) * target[1]
+    return mean, inner + np.diag((np.array(list(q.FLOORS.values())) * q.GRID) ** 2)
+
+
+def brute_mcd(x, target=None):
+    """Rows one by one instead of sums by class: (centre, scatter)."""
+    found = []
+    for at, (centre, scatter) in enumerate(brute_starts(x)):
+        det = math.inf
+        for step in range(q.TRIALS):
+            new = brute_step(x, centre, scatter, target)
+            if not (now := np.linalg.slogdet(new[1])[1]) < det - 1e-9:
+                break
+            (centre, scatter), det = new, now
+        found.append((det, at, centre, scatter, step + 1 == q.TRIALS and det == now))
+    det, _, centre, scatter, open_ = min(found, key=lambda f: f[:2])
+    for _ in range(q.STEPS if open_ else 0):
+        new = brute_step(x, centre, scatter, target)
+        if not (now := np.linalg.slogdet(new[1])[1]) < det - 1e-9:
+            break
+        (centre, scatter), det = new, now
+    return centre, scatter
+
+
+def brute_fit(rows):
+    """rows: (lang, source, x). By language and source its estimate."""
+    group = lambda key: {k: np.array([x for *g, x in rows if key(g) == k], float) for k in {key(g) for *g, _ in rows}}
+    language = {k: brute_mcd(x) for k, x in group(lambda g: g[0]).items()}
+    return {k: brute_mcd(x, language[k[0]]) for k, x in group(tuple).items()}
 
 
 def test_estimates_match_brute_force(spark):
     rng = np.random.default_rng(9)
     mix = rng.normal(size=(P, P))
     x = np.rint(np.r_[rng.normal(size=(500, P)) @ mix * 300, rng.normal(size=(60, P)) * 50 + 9000]).astype(int)
-    stats = spark.createDataFrame([("en", "s", [int(v) for v in r]) for r in x], "lang string, source string, x array<bigint>")
-    found = {r.key: r for r in q.fit(stats).collect()}
-    assert len(found) == 3
-    centre, inverse = brute_mcd(x.astype(float))
-    for r in found.values():
+    rows = [("en", "s", [int(v) for v in r]) for r in x] + [("en", None, [int(v) + 100 for v in r]) for r in x[:9]] + [(None, "s", [int(v) for v in r]) for r in x[20:50]] + [("de", "t", [1600, 0, 0, 0, -2000, -2500, -3000])]
+    found = {r.key: r for r in q.fit(spark.createDataFrame(rows, "lang string, source string, x array<bigint>")).collect()}
+    want = brute_fit(rows)
+    named = {json.dumps({k: v for k, v in zip(("lang", "source"), g) if v is not None}, separators=(",", ":")): g for g in want}
+    assert set(found) == set(named)
+    for k, r in found.items():
+        centre, scatter = want[named[k]]
         assert np.allclose(r.centre, centre)
-        full, at = np.empty((P, P)), 0
-        for i in range(P):
-            for j in range(i, P):
-                full[i, j] = full[j, i] = r.inverse[at] / (1 if i == j else 2)
-                at += 1
-        assert np.allclose(full, inverse, rtol=1e-6, atol=1e-12)
-    assert (np.abs(centre) < 500).all()  # the sixty far rows have no say
+        assert np.allclose(q._square(r.scatter), scatter, rtol=1e-6, atol=1e-6)
+        assert np.allclose(q._square(r.inverse) * (np.eye(P) + 1) / 2, np.linalg.inv(scatter), rtol=1e-5, atol=1e-12)
+    assert (np.abs(want["en", "s"][0]) < 500).all()  # the sixty far rows have no say
+    det = lambda s: np.linalg.slogdet(s)[1]
+    assert all(det(want["en", "s"][1]) <= det(brute_step(x.astype(float), *start, brute_mcd(np.array([r[2] for r in rows if r[0] == "en"], float)))[1]) + 1e-9 for start in brute_starts(x.astype(float)))
+
+
+def test_verdicts_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.lang if r.doc_id % 7 else None, r.source, r.text) for r in docs.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    stats = {i: q.measure(t.encode()) for i, *_, t in rows}
+    failed = {i: m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"] for i, m in stats.items()}
+    estimates = brute_fit([(lang, source, stats[i]["x"]) for i, lang, source, _ in rows if not failed[i]])
+
+    def far(i, lang, source):
+        d = np.array(stats[i]["x"], float) - estimates[lang, source][0]
+        return d @ np.linalg.inv(estimates[lang, source][1]) @ d > q._chi2(q.QUANTILE, P)
+
+    want = {i: not failed[i] and not far(i, lang, source) for i, lang, source, _ in rows}
+    got = {r.doc_id: r.kept for r in q.verdicts(docs).collect()}
+    assert got == want and 0 < sum(want.values()) < sum(not f for f in failed.values())
+    assert {r.doc_id for r in q.keep(docs).collect()} == {i for i, k in want.items() if k}
+
+
+def test_many_groups_meet_their_rows_by_parts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(map(tuple, q.verdicts(docs).collect()))
+    monkeypatch.setattr(q, "BROADCAST_GROUPS", 3)
+    assert sorted(map(tuple, q.verdicts(docs).collect())) == want
 
 
 def test_labelled_documents(spark):
