@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -43,7 +44,7 @@ def test_base_spans_match_brute_force(spark):
 
 
 def test_markov_ratio_matches_brute_force_and_tells_apart(spark):
-    samples = m.labelled_samples(spark, 600)
+    samples = m.made_samples(spark, 600)
     table = m.ratios(samples)
     seen = {True: Counter(), False: Counter()}
     for r in samples.collect():
@@ -54,7 +55,7 @@ def test_markov_ratio_matches_brute_force_and_tells_apart(spark):
     got = {r.w: r.x for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", m._ratio(F.col("w"), table).alias("x")).collect()}
     for w in words:
         assert got[w] == pytest.approx(sum(math.log(chance(True, a, b) / chance(False, a, b)) for a, b in zip(w, w[1:])), abs=1e-3)
-    full = m.ratios(m.labelled_samples(spark))
+    full = m.ratios(m.made_samples(spark))
     docs = spark.createDataFrame([(i, f"see {w} here") for i, w in enumerate(words)], "doc_id long, text string")
     spans = {r.doc_id: r.s for r in m.with_spans(docs, "s", full).collect()}
     assert [len(spans[i]) for i in range(len(words))] == [1, 0, 0, 1, 0, 0]
@@ -66,7 +67,7 @@ def test_secrets_behind_paths_and_names_are_found(spark):
     before = ["/services/integration/organisation/", "/home/services/integration/organisation/environment/relationship/version/", "customer-account-number-", "my_service_account_connection_"]
     after = ["", "/international/organisation/version"]
     planted = [(a, "".join(rng.choice(letters) for _ in range(k)), b) for a in before for b in after for k in (20, 24, 32, 40) for _ in range(5)]
-    full = m.ratios(m.labelled_samples(spark))
+    full = m.ratios(m.made_samples(spark))
     docs = spark.createDataFrame([(i, f"é see {''.join(p)} here") for i, p in enumerate(planted)], "doc_id long, text string")
     spans = {r.doc_id: r.s for r in m.with_spans(docs, "s", full).collect()}
     for i, (a, s, b) in enumerate(planted):
@@ -95,3 +96,53 @@ def test_redaction(spark):
 def test_native_plan(spark):
     plan = m.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_very_many_matches_take_seconds(spark):
+    full, n = m.ratios(m.made_samples(spark)), 64_000
+    texts = ["token=abcdef " * n, "é zQ8vK2pLm9Xr4TbN6wYc " * n, "deadbeefdeadbeefdeadbeef01 password: abcdefgh " * (n // 2), "zQ8vK2pLm9Xr4TbN6wYc/organisation/international/relationship/" * 1000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    spans = {r.doc_id: r.s for r in m.with_spans(docs, "s", full).collect()}
+    clean = {r.doc_id: r.text for r in m.without_secrets(docs).collect()}
+    assert time.time() - began < 120
+    assert [len(spans[i]) for i in range(3)] == [n, n, n]
+    for i, t in enumerate(texts):
+        want, at = [], 0
+        for s in spans[i]:
+            want.append(t[at : s.start] + "[SECRET]")
+            at = s.end
+        assert clean[i] == "".join(want) + t[at:]
+    assert spans[1][-1].start == 23 * (n - 1) + 2
+
+
+def test_overlapping_spans_and_pieces_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(m, "CHUNK", 7)
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        t = "".join(rng.choice("ab é😀\n") for _ in range(rng.randrange(60)))
+        spans = sorted((a, k, min(len(t), a + rng.randrange(1, 12)), "x") for k in range(rng.randrange(6)) if t for a in [rng.randrange(len(t))])
+        rows.append((i, t, spans))
+    docs = spark.createDataFrame(rows, f"doc_id int, text string, spans {m._SPAN}")
+    got = {r.doc_id: r.x for r in docs.select("doc_id", m.redacted(F.col("text"), F.col("spans"), "#").alias("x")).collect()}
+    for i, t, spans in rows:
+        want, at = "", 0
+        for a, _, b, _ in spans:
+            if a >= at:
+                want += t[at:a] + "#"
+            at = max(at, b)
+        assert got[i] == want + t[at:]
+
+
+def test_samples_come_from_the_texts_and_tell_unseen_strings_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = m.ratios(m.labelled_samples(docs))
+    own = m.samples_of(docs)
+    assert own.where("random").count() > 10 and own.where("not random").count() > 10_000
+    more = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = m.samples_of(more, learn=False).distinct().where(F.length("sample") >= m.LEAST)
+    hits = {r.random: (r.n, r.hit) for r in held.select("random", (F.size(m._segments(F.col("sample"), table, m.THRESHOLD)) > 0).cast("int").alias("hit")).groupBy("random").agg(F.count("*").alias("n"), F.sum("hit").alias("hit")).collect()}
+    assert hits[True][0] > 3 and hits[True][1] == hits[True][0]
+    assert hits[False][0] > 5000 and hits[False][1] < 0.005 * hits[False][0]
+    assert [x for x in m.ratios(m.labelled_samples(docs.where("false"))) if x] and m.samples_of(docs.where("false")).count() == 0

@@ -6,9 +6,14 @@ labelled ordinary (identifiers), and a run is a secret if the log-likelihood rat
 run, the segments of 20 or more whose ratio exceeds it are, so that paths and names around a secret do not hide it. What is inside a
 base span is not reported again.
 
-Everything is one narrow projection over whole texts: pattern functions give the matches and the pieces between them, whose
-lengths add up to places. Cheap conditions that every match implies come first, so that most texts are read twice and no more.
-The models are tables over 66 characters, counted by Spark from samples that Spark makes; nothing else is collected.
+The labelled samples: random are the values of assignments and the keys and hex runs that the base patterns find in at most SAMPLE_TEXTS
+texts of the table (those with the least hashed ids of four folds of five; the fifth is kept for measuring), and random
+strings; ordinary are identifiers made of the other words of these texts, and of the fixed PARTS of program text.
+
+Scanning is one narrow projection over whole texts: pattern functions give the matches and the pieces between them, whose
+lengths add up to places. Running sums and maxima over matches are worked out by doubling, and pieces of a text are cut from chunks of it,
+so a text with very many matches costs little more than its length. Cheap conditions that every match implies come first, so that most texts
+are read twice and no more. The models are tables over 66 characters, counted by Spark; nothing else is collected.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import fold_bucket, table
 
 #: The kinds in order, their patterns, the part of a match that has a least length, and that length.
 KINDS = {
@@ -45,10 +50,68 @@ PARTS = (
     "communication development environment government information relationship straightforward unternehmen geschwindigkeit "
     "wissenschaft verantwortung gesellschaft developpement gouvernement environnement informacion comunicacion desarrollo"
 ).split()
-SAMPLES, THRESHOLD, PSEUDO = 4000, 12.0, 0.5
+#: Made strings of either label, texts that give samples at most, folds of which one is not learned from.
+SAMPLES, SAMPLE_TEXTS, FOLDS, THRESHOLD, PSEUDO = 4000, 2000, 5, 12.0, 0.5
+#: Code points of a chunk that pieces of a text are cut from.
+CHUNK = 4096
 
 
-def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
+def _named(value: Column, then) -> Column:
+    """``then`` of ``value``, which is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _running(values: Column, add) -> Column:
+    """The running totals of an array of int under ``add``, which must not mind nulls: after step k each holds those of the 2**(k+1) values up
+    to it, so n values take n log n."""
+    last = F.greatest(F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int") - 1, F.lit(0))
+
+    def step(v, k):
+        by = F.least(F.pow(F.lit(2.0), k).cast("int"), F.size(v))
+        return F.zip_with(v, F.concat(F.array_repeat(F.lit(None).cast("int"), by), F.slice(v, F.lit(1), F.size(v) - by)), add)
+
+    return F.aggregate(F.sequence(F.lit(0), last), values, step)
+
+
+def _sums(values: Column) -> Column:
+    return _running(values, lambda a, b: a + F.coalesce(b, F.lit(0)))
+
+
+def _maxima(values: Column) -> Column:
+    return _running(values, lambda a, b: F.greatest(a, b))
+
+
+def samples_of(docs: DataFrame, learn: bool = True, texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """(sample, random) from at most ``texts`` texts of the folds that are learned from, or of the other: what the base patterns find, without
+    the names before it, and the identifiers that the other words make."""
+    kept = (fold_bucket(F.col("doc_id"), FOLDS) != 0) if learn else (fold_bucket(F.col("doc_id"), FOLDS) == 0)
+    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & kept).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(texts)
+    values, rest = [], F.col("text")
+    for pattern, group, least in KINDS.values():
+        values.append(F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda v: F.length(v) >= least))  # noqa: B023
+        rest = F.regexp_replace(rest, pattern, " ")
+    words = F.regexp_extract_all(rest, F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,19}(?![A-Za-z0-9])"), F.lit(0))
+    both = of.select(F.concat(*values).alias("values"), words.alias("words"))
+    random = both.select(F.explode("values").alias("sample"), F.lit(True).alias("random"))
+    starts = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"), F.lit(3))).otherwise(F.expr("cast(array() as array<int>)"))
+    named = F.transform(starts, lambda i: _joined(F.slice(F.col("words"), i, i % 4 + 2), i % 6))
+    return random.unionByName(both.select(F.explode(named).alias("sample"), F.lit(False).alias("random")))
+
+
+def _joined(words: Column, form: Column) -> Column:
+    """An identifier of some words, in one of six forms."""
+    return (
+        F.when(form == 0, F.array_join(words, "_")).when(form == 1, F.array_join(words, "-")).when(form == 2, F.array_join(words, "/")).when(form == 3, F.upper(F.array_join(words, "_")))
+        .when(form == 4, F.array_join(F.transform(words, F.initcap), "")).otherwise(F.array_join(words, ""))
+    )
+
+
+def labelled_samples(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
+    """(sample, random): those of ``docs`` and ``n`` made strings of either label, the same at every call."""
+    return made_samples(docs.sparkSession, n).unionByName(samples_of(docs))
+
+
+def made_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     """(sample, random): n strings of either label, the same at every call."""
     ids = spark.range(n)
     digest = F.sha2(F.concat(F.lit("secret-"), F.col("id").cast("string")).cast("binary"), 256)
@@ -57,11 +120,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     parts = F.array(*(F.element_at(F.lit(PARTS), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(PARTS))) + 1).cast("int")) for k in range(5)))
     few = F.slice(parts, 1, (F.col("id") % 4 + 2).cast("int"))
     number = F.when(F.col("id") % 5 == 0, (F.pmod(F.xxhash64("id"), F.lit(100))).cast("string")).otherwise("")
-    form = F.col("id") % 6
-    named = (
-        F.when(form == 0, F.array_join(few, "_")).when(form == 1, F.array_join(few, "-")).when(form == 2, F.array_join(few, "/")).when(form == 3, F.upper(F.array_join(few, "_")))
-        .when(form == 4, F.array_join(F.transform(few, F.initcap), "")).otherwise(F.array_join(few, ""))
-    )
+    named = _joined(few, F.col("id") % 6)
     return ids.select(made.alias("sample"), F.lit(True).alias("random")).unionByName(ids.select(F.concat(named, number).alias("sample"), F.lit(False).alias("random")))
 
 
@@ -106,41 +165,44 @@ def _segments(run: Column, table_: list[float], threshold: float) -> Column:
     ``sum`` is the best ratio of a segment that ends here: the last one made longer, or the last LEAST characters. A segment ends
     at its highest place, once ``sum`` has fallen from there by ``threshold``; the next begins behind it."""
     part = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
-    none, low, bar = F.expr(f"cast(array() as {_PART})"), F.lit(-1e9), F.lit(float(threshold))
+    none, low, bar = F.expr("cast(array() as array<bigint>)"), F.lit(-1e9), F.lit(float(threshold))
     zero = {"i": F.lit(0), "whole": F.lit(0.0), "window": F.lit(0.0), "sum": low, "from": F.lit(0), "top": bar, "start": F.lit(0), "end": F.lit(0), "least": F.lit(0), "done": none}
     state = lambda values: F.struct(*(values[k].alias(k) for k in zero))
-    with_last = lambda s: F.when(s["top"] > bar, F.concat(s["done"], F.array(part(s["start"], s["end"])))).otherwise(s["done"])
-    named = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  # worked out once
+    with_last = lambda s: F.when(s["top"] > bar, F.concat(s["done"], F.array(F.shiftleft(s["start"].cast("long"), 32) + s["end"]))).otherwise(s["done"])
 
     def step(s, x):
         begin, window, more = s["i"] - (LEAST - 2), s["window"] + x["new"] - x["old"], s["sum"] + x["new"]
         again = (begin >= s["least"]) & ((s["top"] <= bar) | (begin < s["end"])) & (window >= more)
 
-        def then(n):
-            over, higher = (s["top"] > bar) & (n["sum"] <= s["top"] - bar), n["sum"] > s["top"]
-            return state({
-                "i": s["i"] + 1, "whole": s["whole"] + x["new"], "window": n["window"], "sum": F.when(over, low).otherwise(n["sum"]), "from": n["from"],
-                "top": F.when(over, bar).otherwise(F.greatest(s["top"], n["sum"])), "start": F.when(higher, n["from"]).otherwise(s["start"]),
-                "end": F.when(higher, s["i"] + 2).otherwise(s["end"]), "least": F.when(over, s["end"]).otherwise(s["least"]), "done": F.when(over, with_last(s)).otherwise(s["done"]),
-            })
-
-        return named(F.struct(window.alias("window"), F.when(again, window).otherwise(more).alias("sum"), F.when(again, begin).otherwise(s["from"]).alias("from")), then)
+        # no array through a lambda's result, which is copied: the state holds the segments done so far
+        sum_, from_ = F.when(again, window).otherwise(more), F.when(again, begin).otherwise(s["from"])
+        over, higher = (s["top"] > bar) & (sum_ <= s["top"] - bar), sum_ > s["top"]
+        return state({
+            "i": s["i"] + 1, "whole": s["whole"] + x["new"], "window": window, "sum": F.when(over, low).otherwise(sum_), "from": from_,
+            "top": F.when(over, bar).otherwise(F.greatest(s["top"], sum_)), "start": F.when(higher, from_).otherwise(s["start"]),
+            "end": F.when(higher, s["i"] + 2).otherwise(s["end"]), "least": F.when(over, s["end"]).otherwise(s["least"]), "done": F.when(over, with_last(s)).otherwise(s["done"]),
+        })
 
     both = lambda v: F.zip_with(v, F.slice(F.concat(F.array_repeat(F.lit(0.0), LEAST - 1), v), F.lit(1), F.size(v)), lambda a, b: F.struct(a.alias("new"), b.alias("old")))
     whole = F.array(part(F.lit(0), F.length(run)))
-    found = F.aggregate(named(_steps(run, table_), both), state(zero), step, lambda s: F.when(s["whole"] > bar, whole).otherwise(with_last(s)))
-    even = F.translate(run, "-_", "//")
+    found = F.aggregate(_named(_steps(run, table_), both), state(zero), step, lambda s: F.when(s["whole"] > bar, whole).otherwise(F.transform(with_last(s), lambda d: part(F.shiftright(d, 32), d % (1 << 32)))))
+    size = F.length(run)
+    marked = lambda: F.transform(F.split(F.translate(run, "-_", "//"), ""), lambda c, i: F.when(c == "/", i))  # noqa: E731  # places of separators
+    after_last = lambda: _maxima(_named(marked(), lambda m: F.transform(m, lambda i: F.coalesce(i + 1, F.lit(0)))))
+    next_ = lambda: F.reverse(_running(_named(marked(), lambda m: F.reverse(F.transform(m, lambda i: F.coalesce(i, F.size(m))))), lambda a, b: F.least(a, b)))
 
-    def pieces(p):
-        head, tail = F.substring(even, F.lit(1), p["start"] + 1), F.substring(even, p["end"], F.length(run))
-        return F.when((p["start"] == 0) & (p["end"] == F.length(run)), p).otherwise(part(p["start"] + 1 - F.length(F.substring_index(head, "/", -1)), p["end"] - 1 + F.length(F.substring_index(tail, "/", 1))))
+    def widened(p):
+        return _named(after_last(), lambda left: _named(next_(), lambda right: F.transform(p, lambda x: part(F.get(left, x["start"]), F.get(right, x["end"] - 1)))))
 
-    def join(s, p):
-        last = F.get(s, F.size(s) - 1)
-        joined = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(part(F.least(last["start"], p["start"]), F.greatest(last["end"], p["end"]))))
-        return F.when(last["end"] > p["start"], joined).otherwise(F.concat(s, F.array(p)))
+    def joined(p):
+        """Pieces that overlap are one."""
+        def over(reach):
+            first = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i)["start"] >= F.get(reach, i - 1)))
+            return _named(first, lambda f: F.transform(f, lambda i, at: part(F.get(p, i)["start"], F.get(reach, F.coalesce(F.get(f, at + 1), F.size(p)) - 1))))
 
-    return F.aggregate(F.transform(found, pieces), none, join)
+        return F.when(F.size(p) > 1, _named(_maxima(F.transform(p, lambda x: x["end"])), over)).otherwise(p)
+
+    return _named(found, lambda p: F.when((F.size(p) == 0) | (F.get(p, F.lit(0))["end"] - F.get(p, F.lit(0))["start"] == size), p).otherwise(_named(widened(p), joined)))
 
 
 _SPAN = "array<struct<start: int, rank: int, end: int, kind: string>>"
@@ -148,18 +210,13 @@ _SPAN = "array<struct<start: int, rank: int, end: int, kind: string>>"
 
 def _placed(text: Column, pattern: str, kind: str, rank: int, good: Column) -> Column:
     """All matches of ``pattern`` as spans; ``good``: for each match, whether it stays."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.zip_with(F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"))), good, lambda s, g: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), g.alias("good")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("spans"))
 
-    def step(s, m):
-        begin = s["at"] + m["gap"]
-        end = begin + m["size"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        # after the last match only a gap is left: its size is null
-        return F.struct(F.coalesce(end, s["at"]).alias("at"), F.when(F.coalesce(m["good"], F.lit(False)) & m["size"].isNotNull(), F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
+    def spans(found):
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda b, m: F.length(b) + F.length(m))
+        ends = F.zip_with(_named(sizes, _sums), found, lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
+        return F.filter(F.zip_with(ends, good, lambda s, g: F.when(g, s)), lambda s: s.isNotNull())
 
-    return F.aggregate(steps, start, step, lambda s: s["spans"])
+    return _named(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans).cast(_SPAN)
 
 
 def with_spans(docs: DataFrame, name: str, table_: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -186,8 +243,14 @@ def with_spans(docs: DataFrame, name: str, table_: list[float], text: str = "tex
     inside = lambda s, p: F.struct((s["start"] + p["start"]).alias("start"), s["rank"].alias("rank"), (s["start"] + p["end"]).alias("end"), s["kind"].alias("kind"))
     secret = F.flatten(F.zip_with(placed, found, lambda s, m: F.transform(_segments(m, table_, threshold), lambda p: inside(s, p))))
     out = out.withColumn(more, F.when(F.col(runs), secret).otherwise(none))
-    fresh = F.filter(F.col(more), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return out.withColumn(name, F.array_sort(F.concat(F.col(base), fresh))).drop(flags, runs, base, more)
+
+    def fresh(spans):
+        """Without those of the method inside a base span, which begins before them or sorts first."""
+        reach = _named(F.transform(spans, lambda s: F.when(s["rank"] < len(KINDS), s["end"]).otherwise(0)), _maxima)
+        return F.filter(F.zip_with(spans, reach, lambda s, r: F.when((s["rank"] < len(KINDS)) | (r < s["end"]), s)), lambda s: s.isNotNull())
+
+    every = F.when(F.size(more) > 0, _named(F.array_sort(F.concat(F.col(base), F.col(more))), fresh)).otherwise(F.col(base))
+    return out.withColumn(name, every.cast(_SPAN)).drop(flags, runs, base, more)
 
 
 def _told(spans: Column) -> Column:
@@ -196,33 +259,44 @@ def _told(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every span (sorted by start; they may overlap) replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
-    def step(s, p):
-        fresh = p["start"] >= s["at"]
-        piece = F.concat(s["done"], F.substring(text, s["at"] + 1, p["start"] - s["at"]), F.lit(mark))
-        return F.struct(F.greatest(s["at"], p["end"]).alias("at"), F.when(fresh, piece).otherwise(s["done"]).alias("done"))
+    def with_chunks(chunks):
+        def cut(a, b):
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+            head = F.substring(F.get(chunks, first), a % CHUNK + 1, b - a)
+            middle, tail = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.coalesce(F.get(chunks, last), F.lit("")), F.lit(1), b % CHUNK)
+            return F.when(b <= a, F.lit("")).when(first == last, head).otherwise(F.concat(head, middle, tail))
 
-    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+        def with_reach(reach):
+            before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+            fresh = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.get(spans, i)["start"] >= before(i))
+            done = F.transform(fresh, lambda i: F.concat(cut(before(i), F.get(spans, i)["start"]), F.lit(mark)))
+            return F.concat(F.array_join(done, ""), cut(before(F.size(spans)), F.length(text)))
+
+        return _named(_named(F.transform(spans, lambda s: s["end"]), _maxima), with_reach)
+
+    return F.when(F.size(spans) > 0, _named(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), with_chunks)).otherwise(text)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base (text of the base spans), spans (of all).
 
-    Repeated rows give repeated rows; an empty table gives none. Of ``docs`` only doc_id and text are read."""
+    Null and empty texts have no span. A null doc_id stays null. Repeated rows give repeated rows; an empty table gives none. Of ``docs`` only doc_id and text are read."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = with_spans(slim, "found", ratios(labelled_samples(docs.sparkSession)))
+    found = with_spans(slim, "found", ratios(labelled_samples(docs)))
     number = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(number, KINDS), _told(F.filter("found", lambda s: s["kind"] != "random")).alias("base"), _told(F.col("found")).alias("spans"))
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in text replaced by a mark; n_chars, if there is such a column, becomes the new length."""
+    """``docs`` with every span in text replaced by a mark; n_chars, if there is such a column, becomes the new length.
+
+    Null and empty texts and those without a span stay as they are. Repeated rows stay rows of their own; an empty table stays empty.
+    Other columns are kept, whatever their names."""
     name = "spans"
     while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
-    found = with_spans(docs, name, ratios(labelled_samples(docs.sparkSession)))
+    found = with_spans(docs, name, ratios(labelled_samples(docs)))
     found = found.withColumn("text", redacted(F.col("text"), F.col(name)))
     if "n_chars" in docs.columns:
         # of the text as it is by now: a projection of its own, over the one that makes it
