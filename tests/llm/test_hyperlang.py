@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -18,20 +19,40 @@ def brute_vector(text):
     return v, n
 
 
-def test_batch_vectors_match_brute_force():
-    texts = ["The cat, the DOG", "", "123 !!", "x", "é à — ñandú", "a1b2c3 d", " lead", "trail ", "İstanbul ßtraße 漢字", "long " * 3000]
-    trigrams, counts = h._trigrams(texts)
-    got = counts @ h._vectors(trigrams, h.DIMENSIONS, h.SEED)
-    for t, g, c in zip(texts, got, counts):
-        want, n = brute_vector(t)
-        if any(x.isalpha() for x in t):
-            assert c.sum() == n
-            assert np.allclose(g, want)
-        else:
-            assert not c.any()
+def check(texts):
+    got, n = h.bundles(texts, np.arange(len(texts)), len(texts), h.DIMENSIONS, h.SEED)
+    for t, g, k in zip(texts, got, n):
+        want, count = brute_vector(t)
+        assert k == (count if any(x.isalpha() for x in t) else 0)
+        assert np.allclose(g, want if k else 0)
+
+
+def test_batch_vectors_match_brute_force(monkeypatch):
+    texts = ["The cat, the DOG", "", "123 !!", "x", "é à — ñandú", "a1b2c3 d", " lead", "trail ", "İstanbul ßtraße 漢字", "long " * 300, "!a", "a ", "ab"]
+    check(texts)
     many = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 400))  # too many symbols for a table of all trigrams
-    trigrams, counts = h._trigrams([many])
-    assert np.allclose(counts[0] @ h._vectors(trigrams, h.DIMENSIONS, h.SEED), brute_vector(many)[0])
+    check([many, *texts])
+    monkeypatch.setattr(h, "TABLE", 100)
+    monkeypatch.setattr(h, "BLOCK", 30)
+    check([many, *texts])
+    for size in range(1, 9):  # texts longer than this are read in pieces
+        monkeypatch.setattr(h, "SLICE_CHARS", size)
+        check(texts)
+    together, n = h.bundles(texts, np.arange(len(texts)) % 2, 2, h.DIMENSIONS, h.SEED)
+    apart, m = h.bundles(texts, np.arange(len(texts)), len(texts), h.DIMENSIONS, h.SEED)
+    assert np.allclose(together, [apart[::2].sum(axis=0), apart[1::2].sum(axis=0)]) and n.tolist() == [m[::2].sum(), m[1::2].sum()]
+
+
+def test_a_large_alphabet_and_a_long_text_need_little_memory():
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+    texts = [text(2000) for _ in range(200)] + [text(1_000_000)]
+    tracemalloc.start()
+    _, n = h.bundles(texts, np.arange(len(texts)), len(texts), h.DIMENSIONS, h.SEED)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.tolist() == [2000] * 200 + [1_000_000]
+    assert peak < 600e6
 
 
 def test_held_out_accuracy(spark):

@@ -5,7 +5,8 @@ first letter's vector rolled twice, the second's rolled once and the third's; a
 trigrams, and a language's prototype those of all its training texts. A text gets the language whose prototype has the
 largest cosine with it, ties to the smaller name.
 
-A batch of texts is one matrix of trigram counts times the matrix of its distinct trigrams' vectors. Training is one pass whose
+Some texts at a time are a matrix of trigram counts times the matrix of their distinct trigrams' vectors, a block of trigrams after
+another, so neither many letters nor a long text (which is read in pieces) need much memory. Training is one pass whose
 partial sums (languages x dimensions) are added up by Spark; scoring is a second pass without a shuffle. The prototypes sent
 along are languages x dimensions numbers; the number of languages is checked.
 """
@@ -13,7 +14,8 @@ along are languages x dimensions numbers; the number of languages is checked.
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .shared import batches_as_lists, fold_bucket, table, text_rows
 
-DIMENSIONS, SEED, MAX_LANGUAGES, SLICE_CHARS = 512, 7, 2000, 1_000_000
+DIMENSIONS, SEED, MAX_LANGUAGES = 512, 7, 2000
+#: Characters and texts looked at together; trigrams counted in one table, and turned into vectors at once.
+SLICE_CHARS, SLICE_TEXTS, TABLE, BLOCK = 500_000, 512, 16_384, 4096
 UNKNOWN = "und"
 
 
@@ -32,37 +36,98 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, count=0x110000)
 
 
-@cache
+@lru_cache(maxsize=16_384)
 def letter_vector(code: int, dimensions: int, seed: int) -> np.ndarray:
     bits = np.frombuffer(hashlib.shake_256(f"{seed}:{code}".encode()).digest(-(-dimensions // 8)), np.uint8)
     return np.unpackbits(bits)[:dimensions].astype(np.float32) * 2 - 1
 
 
-def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams of code points (rows of three), and how often each text has each. Runs of other characters than
-    letters count as one blank, also before and after the text."""
-    parts = [t.lower().encode("utf-32-le", "surrogatepass") for t in texts]
-    code = np.frombuffer(b" \0\0\0" + b"".join(p + b" \0\0\0" for p in parts), "<u4")
-    doc = np.repeat(np.arange(len(texts)), [len(p) // 4 + 1 for p in parts])
-    doc = np.r_[0, doc]
+def _windows(code: np.ndarray, doc: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams (rows of three) of normalised code points and the text each is of. A blank's neighbours are of one text; else the text
+    is the middle letter's."""
+    whole = letter[1:-1] | (letter[:-2] & letter[2:] & (doc[:-2] == doc[2:]))
+    return np.stack([code[:-2], code[1:-1], code[2:]], axis=1)[whole], doc[1:-1][whole]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _short(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of some texts at once. Runs of other characters than letters count as one blank, also before and after a text."""
+    parts = [_codes(t.lower()) for t in texts]
+    blank = np.array([32], "<u4")
+    code = np.concatenate([blank, *(x for p in parts for x in (p, blank))])
+    doc = np.r_[0, np.repeat(np.arange(len(texts)), [len(p) + 1 for p in parts])]
     letter = _letters()[code]
     keep = letter | np.r_[True, letter[:-1]]
-    code, doc, letter = np.where(letter, code, 32)[keep], doc[keep], letter[keep]
-    symbols, index = np.unique(code, return_inverse=True)
-    n = len(symbols)
-    whole = letter[1:-1] | (letter[:-2] & letter[2:] & (doc[:-2] == doc[2:]))
-    key = ((index[:-2].astype(np.int64) * n + index[1:-1]) * n + index[2:])[whole]
-    # a blank's neighbours are of one text; else the text is the middle letter's
-    doc = doc[1:-1][whole]
-    if n**3 <= 1 << 24:
-        seen = np.flatnonzero(np.bincount(key, minlength=1))
-        number = np.zeros(n**3, np.int32)
-        number[seen] = np.arange(len(seen), dtype=np.int32)
-        at = number[key]
-    else:
-        seen, at = np.unique(key, return_inverse=True)
-    counts = np.bincount(doc * len(seen) + at, minlength=len(texts) * len(seen)).reshape(len(texts), len(seen)).astype(np.float32)
-    return symbols[np.stack([seen // (n * n), seen // n % n, seen % n], axis=1)], counts
+    return _windows(np.where(letter, code, 32)[keep], doc[keep], letter[keep])
+
+
+def _long(text: str) -> Iterator[np.ndarray]:
+    """The trigrams of a long text, piece by piece; each piece takes up the last two symbols of the one before."""
+    low, before, last = text.lower(), np.array([32], "<u4"), False
+    for at in range(0, len(low) + 1, SLICE_CHARS):
+        code = _codes(low[at : at + SLICE_CHARS] + " " * (at + SLICE_CHARS > len(low)))
+        if not len(code):
+            continue
+        letter = _letters()[code]
+        keep = letter | np.r_[last, letter[:-1]]
+        last = bool(letter[-1])
+        symbols = np.concatenate([before, np.where(letter, code, 32)[keep].astype("<u4")])
+        yield _windows(symbols, np.zeros(len(symbols), int), symbols != 32)[0]
+        before = symbols[-2:]
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, trigrams, the text of each counted from ``from``) of runs of texts, or of a piece of a long one."""
+    start = chars = 0
+    for i, t in enumerate([*texts, None]):
+        if t is None or len(t) > SLICE_CHARS or chars + len(t) > SLICE_CHARS or i - start >= SLICE_TEXTS:
+            if start < i:
+                yield start, i, *_short(texts[start:i])
+            start, chars = i, 0
+        if t is not None and len(t) > SLICE_CHARS:
+            for trigrams in _long(t):
+                yield i, i + 1, trigrams, np.zeros(len(trigrams), int)
+            start = i + 1
+        elif t is not None:
+            chars += len(t)
+
+
+def bundles(texts: list[str], group: np.ndarray, groups: int, dimensions: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """By group of texts the sum of their trigrams' vectors, and the number of trigrams."""
+    out, n = np.zeros((groups, dimensions)), np.zeros(groups, np.int64)
+    for i, j, trigrams, doc in _slices(texts):
+        if not len(trigrams):
+            continue
+        names, of = np.unique(group[i:j], return_inverse=True)  # the groups of this slice
+        row = of[doc]
+        n[names] += np.bincount(row, minlength=len(names))
+        symbols, index = np.unique(trigrams, return_inverse=True)
+        index, m = index.reshape(trigrams.shape).astype(np.int64), len(symbols)
+        key = (index[:, 0] * m + index[:, 1]) * m + index[:, 2]
+        if m**3 <= 1 << 24:
+            seen = np.flatnonzero(np.bincount(key, minlength=1))
+            number = np.zeros(m**3, np.int32)
+            number[seen] = np.arange(len(seen), dtype=np.int32)
+            at = number[key]
+        else:
+            seen, at = np.unique(key, return_inverse=True)
+        by_trigram = np.argsort(at, kind="stable") if len(seen) > TABLE else None
+        for low in range(0, len(seen), TABLE):
+            size = min(TABLE, len(seen) - low)
+            if by_trigram is None:
+                here = slice(None)
+            else:
+                here = by_trigram[np.searchsorted(at, low, sorter=by_trigram) : np.searchsorted(at, low + size, sorter=by_trigram)]
+            counts = np.bincount(row[here] * size + (at[here] - low), minlength=len(names) * size).reshape(len(names), size).astype(np.float32)
+            for b in range(0, size, BLOCK):
+                some = seen[low + b : low + min(b + BLOCK, size)]
+                codes = symbols[np.stack([some // (m * m), some // m % m, some % m], axis=1)]
+                # float32 holds whole numbers up to 2**24, and a slice has fewer trigrams
+                out[names] += counts[:, b : b + BLOCK] @ _vectors(codes, dimensions, seed)
+    return out, n
 
 
 def _vectors(trigrams: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
@@ -72,18 +137,6 @@ def _vectors(trigrams: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
     return np.roll(base, 2, axis=1)[index[:, 0]] * np.roll(base, 1, axis=1)[index[:, 1]] * base[index[:, 2]]
 
 
-def _slices(texts: list[str]):
-    """Runs of texts of about SLICE_CHARS characters, as (from, to)."""
-    start = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t)
-        if chars >= SLICE_CHARS or i - start >= 999:
-            yield start, i + 1
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _decode(texts: list[bytes]) -> list[str]:
     return [t.decode("utf-8", "replace") for t in texts]
 
@@ -96,15 +149,10 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, dimensions: int = DIMENS
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for langs, texts in batches_as_lists(batches, "lang", "text"):
-            texts = _decode(texts)
-            for i, j in _slices(texts):
-                trigrams, counts = _trigrams(texts[i:j])
-                own = sorted(set(langs[i:j]))
-                if not len(trigrams):
-                    continue
-                by_lang = np.stack([counts[[x == k for x in langs[i:j]]].sum(axis=0) for k in own])
-                for k, v in zip(own, by_lang.astype(np.float64) @ _vectors(trigrams, dimensions, seed).astype(np.float64)):
-                    sums[k] = sums.get(k, 0) + np.rint(v).astype(np.int64)
+            own = sorted(set(langs))
+            group = np.array([own.index(k) for k in langs]) if len(own) < 20 else np.searchsorted(np.array(own, object), np.array(langs, object))
+            for k, v in zip(own, bundles(_decode(texts), group, len(own), dimensions, seed)[0]):
+                sums[k] = sums.get(k, 0) + np.rint(v).astype(np.int64)
         for k, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(v)], ["lang", "at", "value"])
 
@@ -127,19 +175,16 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], folds: int = 4,
     rows = text_rows(docs, (fold_bucket(F.col("doc_id"), folds) == held).alias("held_out"))
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             texts = _decode(b.column(1).to_pylist())
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for i, j in _slices(texts) if names else ():
-                trigrams, counts = _trigrams(texts[i:j])
-                if not len(trigrams):
-                    continue
-                bundle = (counts @ _vectors(trigrams, dimensions, seed)).astype(np.float64)
+            if names:
+                bundle, n = bundles(texts, np.arange(len(texts)), len(texts), dimensions, seed)
                 size = np.sqrt((bundle * bundle).sum(axis=1))
                 cosine = bundle @ unit.T / np.where(size > 0, size, 1)[:, None]
                 best = cosine.argmax(axis=1)
-                for k in np.flatnonzero(counts.any(axis=1)):
-                    lang[i + k], score[i + k] = names[best[k]], min(1.0, max(0.0, cosine[k, best[k]]))
+                for k in np.flatnonzero(n):
+                    lang[k], score[k] = names[best[k]], min(1.0, max(0.0, cosine[k, best[k]]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
