@@ -1,6 +1,11 @@
+import math
 import random
+import re
+import zlib
 from collections import Counter
 
+import numpy as np
+
 from weftgraph.llm import toxic_segments as m
 
 SF = "/root/testdata/sf0.01"
@@ -66,3 +71,72 @@ def test_nothing_to_learn(spark):
     assert len({r.score for r in m.score(docs, m.fit(docs, labels.where("toxic = 0"))).collect()}) == 1
     empty = docs.where("false")
     assert m.score(empty, m.fit(empty, labels)).count() == 0
+
+
+def brute_terms(rows):
+    """Terms that pass Benjamini and Hochberg's test, by sorting all of them; rows: (text, toxic)."""
+    seen = {0: Counter(), 1: Counter()}
+    for t, y in rows:
+        own = set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        # a prefix once a text
+        seen[y].update(own | {w[:k] + "-" for w in own for k in (4, 5) if len(w) > k})
+    out = {}
+    for kind in (0, 4, 5):
+        of = lambda t: (len(t) - 1 if t[-1] == "-" else 0) == kind  # noqa: B023, E731
+        na, nb = (sum(n for t, n in seen[y].items() if of(t)) for y in (1, 0))
+        if not na or not nb:
+            continue
+        tests = sorted((*m.evidence(seen[1][t], seen[0][t], na, nb), t) for t in seen[0].keys() | seen[1].keys() if of(t) and seen[0][t] + seen[1][t] >= m.LEAST)
+        last = max((i for i, (c, *_) in enumerate(tests, 1) if c <= math.log(m.RATE * i / len(tests))), default=0)
+        out |= {t: (c, d) for c, d, t in tests[:last] if abs(d) >= m.LARGE}
+    return out
+
+
+def test_evidence_matches_the_binomial_sum():
+    for x, y, na, nb in ((3, 0, 50, 400), (0, 9, 50, 60), (7, 7, 100, 300), (40, 2, 900, 900)):
+        share = na / (na + nb)
+        n = x + y
+        tail = lambda k, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))  # noqa: B023, E731
+        chance, d = m.evidence(x, y, na, nb)
+        assert math.isclose(math.exp(chance), tail(x, share) if d >= 0 and x / n > share else tail(y, 1 - share), rel_tol=1e-6)
+
+
+def test_model_and_scores_match_brute_force(spark):
+    docs, labels = corpus(spark)
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    label = {r.doc_id: r.toxic for r in labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").max("toxic").toDF("doc_id", "toxic").collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    model = m.fit(docs, labels)
+    want = brute_terms([(text[i], y) for i, y in label.items() if i in text and not held(i)])
+    assert set(model.score) == set(want) and {"nasty", "vilething", "vile-"} <= set(want)
+    for t, pair in want.items():
+        assert np.allclose(model.score[t], pair)
+
+    def probability(t):
+        scores = []
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            known = [want[x] for x in (w, w[:5] + "-" if len(w) > 5 else "", w[:4] + "-" if len(w) > 4 else "") if x in want]
+            scores.append(min(known)[1] - m.DRIFT if known else -m.DRIFT)
+        n, found = len(scores), [(s, len(scores) * math.exp(-model.rate * s)) for *_, s in brute(scores)]
+        best = -math.log(min(e for _, e in found)) if found else -math.log(n) - 1
+        x = (math.copysign(math.log1p(abs(best)), best), math.log1p(sum(s for s, e in found if e <= m.SIGNIFICANT)) / n**0.25)
+        z = model.weights[0] + sum(w * (v - c) for w, v, c in zip(model.weights[1:], x, model.centre))
+        return 1 / (1 + math.exp(-z))
+
+    got = m.score(docs, model).collect()
+    assert len(got) == len(text)
+    for r in got:
+        assert r.held_out == held(r.doc_id) and math.isclose(r.score, probability(text[r.doc_id]), rel_tol=1e-6)
+
+
+def test_all_terms_are_tested(spark):
+    """More terms than any cap would keep: the rare ones that mark toxic texts are still found."""
+    rng = random.Random(2)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = []
+    for i in range(400):
+        w = [name(rng.randrange(26**4)) for _ in range(200)] + ["qqrare"] * (i % 5 == 0 and i < 300)
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = m.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert model.score["qqrare"][1] > m.LARGE

@@ -12,8 +12,9 @@ what is significant: with lambda the root of E[exp(lambda * score)] = 1 over cle
 words has E = n * exp(-lambda * S) (the constant before n is left to the calibration). The significant segments' total and the
 extreme value of the best, -ln E, go to a logistic calibration on training texts, which gives a score from 0 to 1.
 
-Learning uses at most MAX_TEXTS labelled texts (those with the smallest hashed ids, whatever the corpus holds) and keeps at most MAX_TERMS words
-and prefixes, so the model is bounded and is sent along with the tasks. Scoring is one narrow pass over all whole texts.
+Learning uses at most MAX_TEXTS labelled texts (those with the smallest hashed ids, whatever the corpus holds). All their terms are counted, tested
+and cut by Spark; only the sure ones, which are the model, are collected and sent along with the tasks. Scoring is one narrow pass over
+all whole texts.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .shared import batches_as_lists, fold_bucket, settle, table, text_rows
 
-#: Labelled texts to learn from, terms kept, words remembered; occurrences a term needs; prefix lengths, the longest first.
-MAX_TEXTS, MAX_TERMS, MEMO, LEAST, PREFIXES = 30_000, 200_000, 200_000, 3, (5, 4)
+#: Labelled texts to learn from, words remembered; occurrences a term needs; prefix lengths, the longest first.
+MAX_TEXTS, MEMO, LEAST, PREFIXES = 30_000, 200_000, 3, (5, 4)
 #: Weight of the prior as a share of all counts, false discovery rate and shrunken log-odds of the terms kept; drift a word, E at which a segment is significant.
 PRIOR, RATE, LARGE, DRIFT, SIGNIFICANT = 0.02, 0.05, 2.0, 0.1, 0.05
 
@@ -63,29 +64,47 @@ def _tail(x: int, n: int, share: float) -> float:
     return min(0.0, at + math.log(total))
 
 
-def log_odds(toxic: Counter, clean: Counter) -> dict[str, tuple[float, float]]:
-    """The sure terms' log chance and shrunken log-odds. Words and the prefixes of a length each are a distribution of their own."""
-    out: dict[str, tuple[float, float]] = {}
-    for k in (0, *PREFIXES):
-        of = lambda c: {t: n for t, n in c.items() if (len(t) == k + 1 and t[-1] == "-" if k else t[-1] != "-")}  # noqa: B023, E731
-        a, b = of(toxic), of(clean)
-        na, nb = sum(a.values()), sum(b.values())
-        if not na or not nb:
-            continue
-        whole, tested = PRIOR * (na + nb), []
-        for t in a.keys() | b.keys():
-            x, y = a.get(t, 0), b.get(t, 0)
-            if x + y < LEAST:
-                continue
-            share = na / (na + nb)
-            prior = whole * (x + y) / (na + nb)
-            d = math.log((x + prior) / (na + whole - x - prior)) - math.log((y + prior) / (nb + whole - y - prior))
-            chance = _tail(x, x + y, share) if d > 0 else _tail(y, x + y, 1 - share)
-            tested.append((chance, t, math.copysign(max(0.0, abs(d) - math.sqrt(1 / (x + prior) + 1 / (y + prior))), d)))
-        tested.sort()
-        sure = max((i for i, (chance, *_) in enumerate(tested, 1) if chance <= math.log(RATE * i / len(tested))), default=0)
-        out |= {t: (chance, d) for chance, t, d in tested[:sure] if abs(d) >= LARGE}
-    return out
+def kind_of(term: str) -> int:
+    """A prefix's length; 0 of a word. Words and the prefixes of a length each are a distribution of their own."""
+    return len(term) - 1 if term[-1] == "-" else 0
+
+
+def evidence(x: int, y: int, na: int, nb: int) -> tuple[float, float]:
+    """Of a term in ``x`` toxic and ``y`` clean texts, all of its kind in ``na`` and ``nb``: the log chance of its split, and its log-odds
+    drawn towards 0 by one standard deviation."""
+    whole, share = PRIOR * (na + nb), na / (na + nb)
+    prior = whole * (x + y) / (na + nb)
+    d = math.log((x + prior) / (na + whole - x - prior)) - math.log((y + prior) / (nb + whole - y - prior))
+    chance = _tail(x, x + y, share) if d > 0 else _tail(y, x + y, 1 - share)
+    return chance, math.copysign(max(0.0, abs(d) - math.sqrt(1 / (x + prior) + 1 / (y + prior))), d)
+
+
+def sure_terms(counted: DataFrame) -> dict[str, tuple[float, float]]:
+    """The sure terms' log chance and log-odds; counted (settled): term, kind, toxic, clean."""
+    totals = {r.kind: (r.a, r.b) for r in counted.groupBy("kind").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).collect()}
+    totals = {k: v for k, v in totals.items() if v[0] and v[1]}
+
+    def run(batches):
+        for terms, kinds, xs, ys in batches_as_lists(batches, "term", "kind", "toxic", "clean"):
+            out = [(t, k, *evidence(x, y, *totals[k])) for t, k, x, y in zip(terms, kinds, xs, ys)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.float64(), pa.float64()))], ["term", "kind", "chance", "odds"])
+
+    tested = settle(counted.where((F.col("toxic") + F.col("clean") >= LEAST) & F.col("kind").isin(list(totals))).mapInArrow(run, "term string, kind int, chance double, odds double"))
+    # Benjamini and Hochberg: the largest cut c with c <= RATE * (share of chances up to c), from above
+    number = {r.kind: r.n for r in tested.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    cut, below = {k: math.log(RATE) for k in number}, None
+    while True:
+        limit = F.lit(None).cast("double")
+        for k, c in cut.items():
+            limit = F.when(F.col("kind") == k, F.lit(c)).otherwise(limit)
+        sure = tested.where(F.col("chance") <= limit)
+        n = {r.kind: r.n for r in sure.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        if n == below:
+            break
+        below, cut = n, {k: math.log(RATE * n[k] / number[k]) for k in n}
+        if not cut:
+            break
+    return {r.term: (r.chance, r.odds) for r in sure.where(F.abs("odds") >= LARGE).collect()}
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -146,9 +165,10 @@ class Model:
     def features(self, n: int, found: list) -> tuple[float, float]:
         """The best segment's -ln E, and the significant segments' score a square root of words."""
         if not found:
-            return -math.log(max(n, 1)) - 1.0, 0.0
+            return -math.log1p(math.log(max(n, 1)) + 1.0), 0.0
         best = -math.log(min(f[3] for f in found) + 1e-300)
-        return min(best, 60.0), min(60.0, sum(f[2] for f in found if f[3] <= SIGNIFICANT)) / math.sqrt(math.sqrt(max(n, 1)))
+        # large values count by their logarithm, so that no text is far from all those learned from
+        return math.copysign(math.log1p(abs(best)), best), math.log1p(sum(f[2] for f in found if f[3] <= SIGNIFICANT)) / math.sqrt(math.sqrt(max(n, 1)))
 
     def probability(self, n: int, found: list) -> float:
         z = self.weights[0] + sum(w * (x - c) for w, x, c in zip(self.weights[1:], self.features(n, found), self.centre))
@@ -182,7 +202,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_texts: int = MAX_TEXTS, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_texts: int = MAX_TEXTS) -> Model:
     """Learns from rows whose crc32 of doc_id is not ``held`` modulo ``folds``. A null toxic or doc_id is no label; of several
     labels of a document the largest counts. Without both classes the model knows nothing and gives every text the same score."""
     toxic = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -201,14 +221,23 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_t
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part]), pa.array([n if y else 0 for _, n in part], pa.int64()), pa.array([0 if y else n for _, n in part], pa.int64())], ["term", "toxic", "clean"])
 
     counted = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = counted.where(F.col("toxic") + F.col("clean") >= LEAST).orderBy(F.desc(F.col("toxic") + F.col("clean")), "term").limit(max_terms).toPandas()
-    a, b = dict(zip(kept.term, kept.toxic.tolist())), dict(zip(kept.term, kept.clean.tolist()))
-    if not any(a.values()) or not any(b.values()):
+    prefix = F.col("term").endswith("-")
+    counted = settle(counted.withColumn("kind", F.when(prefix, F.length("term") - 1).otherwise(0)))
+    words_ = counted.where("kind = 0").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    if not all(words_):
         return Model({})
-    model = Model(log_odds(Counter(a), Counter(b)))
-    whole = [t for t in b if t[-1] != "-" and b[t]]
-    share = np.array([b[t] for t in whole], float)
-    model.rate = _rate(np.array([model.of(t) for t in whole]), share / share.sum())
+    model = Model(sure_terms(counted))
+
+    def scored(batches):
+        for terms, clean in batches_as_lists(batches, "term", "clean"):
+            total: dict[float, int] = {}
+            for t, n in zip(terms, clean):
+                total[model.of(t)] = total.get(model.of(t), 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], ["score", "n"])
+
+    # as many scores as the model has terms, at most
+    clean = counted.where("kind = 0 and clean > 0").mapInArrow(scored, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").toPandas()
+    model.rate = _rate(clean.score.to_numpy(), clean.n.to_numpy(float) / clean.n.sum())
 
     def measure(batches):
         for ys, texts in batches_as_lists(batches, "toxic", "text"):
