@@ -17,18 +17,39 @@ def brute(rows, k, modulus):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("block", "chunk"), [(16, 4), (100, 1000)])
-def test_matches_brute_force(spark, block, chunk):
+@pytest.mark.parametrize(("block", "blocks", "queries"), [(16, 2, 4), (16, 100, 7), (100, 1, 1000)])
+def test_matches_brute_force(spark, block, blocks, queries):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(300, 7)).astype(np.float32)
     x[50:90] = x[50]  # ties
     x[100:110] = np.round(x[100:110])
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5, [1.0] * 7), (10, [0.5] * 7), (10, [0.5] * 7), (-20, [-3.0] * 7), (400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 7), (404, [float("inf")] + [0.0] * 6), (None, [1.0] * 7), (410, [1.0, 2.0]), (411, [3.0, 1.0]), (420, [0.0] * 7), (430, [1000.0] * 7)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).repartition(5)
-    got = sorted(tuple(r) for r in m.top_k(df, k=5, query_modulus=10, block=block, chunk=chunk).collect())
+    got = sorted(tuple(r) for r in m.top_k(df, k=5, query_modulus=10, block=block, cell_blocks=blocks, cell_queries=queries).collect())
     assert got == brute(rows, 5, 10)
 
 
+def test_large_finite_values_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(60, 5)))]
+    rows += [(100 + i, [float(v) for v in r * 1e7]) for i, r in enumerate(rng.normal(size=(30, 5)))]  # beyond 32 bits
+    rows += [(200 + i, [float(v) for v in r * 1e30]) for i, r in enumerate(rng.normal(size=(30, 5)))]  # beyond 64
+    rows += [(300, [1.7e308] * 5), (301, [-1.7e308] * 5), (310, [1e7] * 5), (311, [1e7] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scaled = {i: [(n * 256) // d for n, d in (x.as_integer_ratio() for x in v)] for i, v in rows}
+    want = []
+    for i, q in scaled.items():
+        if i % 10 == 0:
+            found = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in scaled.items() if j != i)[:5]
+            want += [(i, n, j, min(2**63 - 1, max(-(2**63), -s))) for n, (s, j) in enumerate(found, 1)]
+    for block in (1000, 8):
+        got = sorted(tuple(r) for r in m.top_k(df, k=5, query_modulus=10, block=block, cell_blocks=2, cell_queries=3).collect())
+        assert got == sorted(want)
+    scores = sorted(rng.integers(-(2**62), 2**62, 300).astype(object) * 2**40 // rng.integers(1, 2**30, 300).astype(object) ** 2)
+    clipped = [(min(m.LARGEST, max(m.LEAST, s)), m._sortable(s) or b"") for s in scores]
+    assert clipped == sorted(clipped)
+
+
 def test_sql_agrees_on_the_table(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
