@@ -26,7 +26,7 @@ from .shared import batches_as_lists, fold_bucket, table, text_rows
 
 DIMENSIONS, SEED, MAX_LANGUAGES = 512, 7, 2000
 #: Characters and texts looked at together; trigrams counted in one table, and turned into vectors at once.
-SLICE_CHARS, SLICE_TEXTS, TABLE, BLOCK = 500_000, 512, 16_384, 4096
+SLICE_CHARS, SLICE_TEXTS, TABLE, BLOCK = 1_000_000, 512, 16_384, 4096
 UNKNOWN = "und"
 
 
@@ -104,8 +104,12 @@ def bundles(texts: list[str], group: np.ndarray, groups: int, dimensions: int, s
         names, of = np.unique(group[i:j], return_inverse=True)  # the groups of this slice
         row = of[doc]
         n[names] += np.bincount(row, minlength=len(names))
-        symbols, index = np.unique(trigrams, return_inverse=True)
-        index, m = index.reshape(trigrams.shape).astype(np.int64), len(symbols)
+        present = np.zeros(0x110000, bool)
+        present[trigrams] = True
+        symbols = np.flatnonzero(present).astype("<u4")
+        place, m = np.zeros(0x110000, np.int64), len(symbols)
+        place[symbols] = np.arange(m)
+        index = place[trigrams]
         key = (index[:, 0] * m + index[:, 1]) * m + index[:, 2]
         if m**3 <= 1 << 24:
             seen = np.flatnonzero(np.bincount(key, minlength=1))

@@ -85,17 +85,20 @@ def samples_of(docs: DataFrame, learn: bool = True, texts: int = SAMPLE_TEXTS) -
     """(sample, random) from at most ``texts`` texts of the folds that are learned from, or of the other: what the base patterns find, without
     the names before it, and the identifiers that the other words make."""
     kept = (fold_bucket(F.col("doc_id"), FOLDS) != 0) if learn else (fold_bucket(F.col("doc_id"), FOLDS) == 0)
-    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & kept).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(texts)
+    # the number that the chosen hashes end at is all that is collected; no text is shuffled
+    place = F.xxhash64(F.col("doc_id").cast("long"))
+    last = docs.where(kept).select(place.alias("place")).distinct().orderBy("place").limit(texts).agg(F.max("place")).first()[0]
+    of = docs.select("doc_id", "text").where(F.col("text").isNotNull() & kept & (place <= F.lit(last).cast("long")))
     values, rest = [], F.col("text")
     for pattern, group, least in KINDS.values():
         values.append(F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda v: F.length(v) >= least))  # noqa: B023
         rest = F.regexp_replace(rest, pattern, " ")
     words = F.regexp_extract_all(rest, F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,19}(?![A-Za-z0-9])"), F.lit(0))
     both = of.select(F.concat(*values).alias("values"), words.alias("words"))
-    random = both.select(F.explode("values").alias("sample"), F.lit(True).alias("random"))
     starts = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"), F.lit(3))).otherwise(F.expr("cast(array() as array<int>)"))
+    labelled = lambda v, random: F.transform(v, lambda x: F.struct(x.alias("sample"), F.lit(random).alias("random")))
     named = F.transform(starts, lambda i: _joined(F.slice(F.col("words"), i, i % 4 + 2), i % 6))
-    return random.unionByName(both.select(F.explode(named).alias("sample"), F.lit(False).alias("random")))
+    return both.select(F.explode(F.concat(labelled(F.col("values"), True), labelled(named, False))).alias("s")).select("s.*")
 
 
 def _joined(words: Column, form: Column) -> Column:
