@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import threading
 import urllib.error
 import urllib.request
@@ -9,16 +10,18 @@ import pytest
 from weftgraph import cli
 from weftgraph.plans import build, engine, nl, policy, serve
 from weftgraph.plans import config as cfg
+from weftgraph.plans.dataset import TripleSet
 
 
 @pytest.fixture(scope="module")
 def package(spark, tmp_path_factory):
+    os.environ["WEFTGRAPH_SALT"] = "pepper"
     home = tmp_path_factory.mktemp("project")
     (home / "data").mkdir()
     (home / "data/customers.csv").write_text("customer_id,name,email,segment\nC1,Ann Alder,a@x.org,VIP\nC2,Bob Birch,b@x.org,Standard\n")
     (home / "data/products.csv").write_text("product_id,name,risk_level\nP1,Saw,High\nP2,Hat,Low\n")
     (home / "data/orders.csv").write_text("order_id,customer_id,product_id,amount\nO1,C1,P1,1200\nO2,C2,P2,30\n")
-    raw = cli.starter("customer360") | {"security": {"roles": {"analyst": {"masked_terms": ["Saw"], "max_rows": 5}, "outsider": {"deny_entities": ["Customer"]}}}}
+    raw = cli.starter("customer360") | {"security": {"roles": {"analyst": {"mask_properties": ["Saw"], "max_rows": 5}, "outsider": {"deny_entities": ["Customer"]}}}}
     config = cfg.normalize(raw, str(home))
     result = build.build(spark, config, str(home / "gold"))
     return home, config, result, build.open_package(spark, str(home / "gold"))
@@ -139,3 +142,45 @@ def test_cli(package, tmp_path, capsys):
     for command in (["inspect", gold], ["report", gold], ["ask", gold, "how many customers"], ["generate-sparql", gold, "show orders"], ["profile", gold], ["diff", gold, gold], ["studio", gold], ["doctor"], ["benchmark", "--rows", "100"], ["query", gold, "ASK { ?s ?p ?o }"]):
         assert cli.main(command) == 0, command
     assert '"triples": 600' in capsys.readouterr().out
+
+
+def test_documented_access_rules():
+    """A list of policies with their roles; allowed, denied and masked properties; unknown keys are errors."""
+    rules = policy.Policies.from_config({"policies": [{"role": "default", "max_rows": 500}, {"role": "analyst", "deny_properties": ["schema:email", "schema:telephone"], "mask_properties": ["email", "phone"], "max_rows": 200}, {"role": "restricted", "allow_entities": ["Customer", "Order"], "deny_properties": ["email", "phone", "ssn"], "max_rows": 50}]})
+    assert rules.of("analyst").max_rows == 200 and rules.of("nobody").max_rows == 500 and "https://schema.org/email" in rules.of("analyst").deny_properties
+    tables = [{"name": "c", "entity": "Customer", "primary_key": "id", "columns": {"email": {}, "name": {"property": "schema:name"}}}, {"name": "p", "entity": "Product", "primary_key": "id", "columns": {}}]
+    assert [(t["entity"], list(t["columns"])) for t in rules.of("restricted").filter_schema(tables)] == [("Customer", ["name"])]
+    assert list(policy.Role(allow_properties=["schema:name"]).filter_schema(tables)[0]["columns"]) == ["name"]
+    assert policy.Policies.from_config({"policies": [{"role": "a"}]}).of("b").max_rows == 0 and policy.Policies.from_config({}).of("b").max_rows == 500
+    for bad in ({"policies": [{"role": "a", "deny": ["x"]}]}, {"roles": {"a": {"denied_terms": ["x"]}}}, {"policies": [{"max_rows": 3}]}, {"polices": []}):
+        with pytest.raises(ValueError):
+            policy.Policies.from_config(bad)
+
+
+def test_masked_and_denied_properties_are_kept_from_queries(spark):
+    ns = "https://data.example/x"
+    rows = [("1", "https://schema.org/email", "a@x.org"), ("1", "https://schema.org/telephone", "123"), ("1", "https://schema.org/name", "Ann")]
+    triples = spark.createDataFrame([(f"{ns}/Customer/{s}", p, o, False, None, None, "c", "data") for s, p, o in rows], "subject string, predicate string, object string, is_iri boolean, datatype string, lang string, source_table string, kind string")
+    e = engine.QueryEngine(TripleSet(triples), nl.Schema(ns, [], []), policy.Policies.from_config({"policies": [{"role": "analyst", "deny_properties": ["schema:telephone"], "mask_properties": ["email"]}]}))
+    found = {r.v for r in e.execute_sparql("SELECT ?v WHERE { ?s ?p ?v }", "analyst").collect()}
+    assert found == {"[MASKED]", "Ann"}
+
+
+def test_a_hash_mask_needs_a_salt(monkeypatch):
+    raw = {"tables": [{"name": "t", "source": "t.csv", "primary_key": "k", "columns": {"mail": {"pii": True}, "n": "schema:name"}}]}
+    assert cfg.normalize(raw)["tables"][0]["columns"]["mail"]["mask"] == "hash"
+    config = cfg.normalize(raw | {"governance": {"pii": {"default_mask": "hash32", "salt_env": "OTHER_SALT"}}})
+    assert config["tables"][0]["columns"]["mail"]["mask"] == "hash32"
+    monkeypatch.delenv("OTHER_SALT", raising=False)
+    with pytest.raises(cfg.ConfigError):
+        build.salt_of(config)
+    monkeypatch.setenv("OTHER_SALT", "s")
+    assert build.salt_of(config) == "s"
+
+
+def test_glossary_and_ways():
+    schema = nl.Schema("https://data.example/x", [{"name": n, "entity": n.title(), "primary_key": "id", "columns": {}} for n in ("a", "b", "c", "d")], [{"name": f"{x}{y}", "from_table": x, "to_table": y, "predicate": f"ex:{x}{y}", "inverse_predicate": None, "description": ""} for x, y in (("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"))])
+    planner = nl.Planner(schema, glossary=[{"term": "D", "synonyms": ["destination"]}])
+    assert [e["predicate"] for e in planner.path("A", "D")] == ["ex:ac", "ex:cd"] and planner.path("D", "A") == [] and planner.path("A", "A") == []
+    assert planner.plan("count every destination").entities == ["D"]
+    assert [(f["operator"], f["value"]) for f in nl.comparisons("more than 5 and below 7.5")] == [(">", "5"), ("<", "7.5")]

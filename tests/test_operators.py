@@ -194,3 +194,30 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = spark.readStream.schema("k long, v string").parquet(f"{tmp_path}/in")
     append.append(C.Table("t", rows, "T", "k"), NS, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 40
+
+
+def test_constant_subjects_reach_the_scan(spark, tmp_path):
+    """A constant IRI becomes a filter on the key, by a scan that knows it; other spellings and types find nothing."""
+    spark.createDataFrame([(i, f"n{i}", i % 3) for i in range(50)], "k long, v string, g int").write.parquet(f"{tmp_path}/t")
+    t = C.Table("t", spark.read.parquet(f"{tmp_path}/t"), "Thing", "k", links={"g": "Thing"})
+    g = TableGraph(spark, [t], [], NS)
+    plain = C.as_set(C.graph([t], [], NS, spark))
+    key = ["subject", "predicate", "object"]
+    for iri in (f"{NS}/Thing/7", f"{NS}/Thing/2", f"{NS}/Thing/07", f"{NS}/Thing/x", f"{NS}/Thing/99999999999999999999", f"{NS}/Other/7"):
+        assert sorted(map(tuple, g.with_subject(iri).source.select(*key).collect())) == sorted(map(tuple, plain.where(F.col("subject") == iri).select(*key).collect()))
+        assert sorted(map(tuple, g.around(iri).source.select(*key).collect())) == sorted(map(tuple, plain.where((F.col("subject") == iri) | (F.col("is_iri") & (F.col("object") == iri))).select(*key).collect()))
+    plan = g.with_subject(f"{NS}/Thing/7").source._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,7)" in plan
+
+
+def test_predicate_counts_without_triples(spark):
+    tables, rels = shop(spark)
+    want = {r.predicate: r["count"] for r in C.graph(tables, rels, NS, spark).groupBy("predicate").count().collect()}
+    assert {r.predicate: r.n for r in profile.predicate_counts(tables, rels, NS).collect()} == want
+
+
+def test_ntriples_that_do_not_parse_are_an_error(spark, tmp_path):
+    (tmp_path / "g.nt").write_text('# a comment\n\n<a:s> <a:p> "o" .\nno triple\n')
+    assert readers.read_ntriples(spark, f"{tmp_path}/g.nt", strict=False).count() == 1
+    with pytest.raises(Exception, match="no triple"):
+        readers.read_ntriples(spark, f"{tmp_path}/g.nt").collect()

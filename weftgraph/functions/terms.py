@@ -158,6 +158,22 @@ def minted(namespace: str, entity: str, key: Column, strategy: str = "namespace"
     raise ValueError(f"no IRI strategy {strategy!r}: namespace, numeric, hash, uuid4, uuid5")
 
 
+def key_of(iri: str, namespace: str, entity: str, kind: T.DataType, strategy: str = "namespace"):
+    """The key value that ``minted`` makes this IRI of, in the key column's type: what a filter on the source can use. None if the
+    IRI is of no such entity or no key of this type; NotImplemented if the strategy hides the key."""
+    root = f"{base(namespace)}/{entity}/"
+    if not iri.startswith(root):
+        return None
+    if strategy not in ("namespace", "numeric"):
+        return NotImplemented
+    text = iri[len(root) :]
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, T.IntegralType):
+        return int(text) if re.fullmatch("0|-?[1-9][0-9]*", text) and abs(int(text)) < 2**63 else None
+    return NotImplemented
+
+
 def escaped(text: Column) -> Column:
     """A literal's characters for Turtle and N-Triples."""
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.terms import RDF_TYPE, local_column
+from ..functions.terms import RDF_TYPE, local_column, predicate_iri
+from . import compile as C
 
 
 def class_distribution(triples: DataFrame) -> DataFrame:
@@ -18,6 +22,29 @@ def property_distribution(triples: DataFrame) -> DataFrame:
     return triples.groupBy("predicate").agg(F.count("*").alias("n"))
 
 
+def predicate_counts(tables: list[C.Table], relationships: list[C.Relationship], namespace: str) -> DataFrame:
+    """A8 without making a triple: a table's triples by predicate are its columns' counts of values (of items in lists), one narrow
+    aggregation a table; declared edges are the rows with both ends, counted after the lookup where the target is found by another column."""
+    spark, parts, by_name = tables[0].df.sparkSession, [], {t.name: t for t in tables}
+    for t in tables:
+        key, counts, made = F.col(f"`{t.primary_key}`").isNotNull(), {}, set(t.df.columns) - {t.primary_key}
+        for c in (c for c in t.df.columns if c in made):
+            value = F.coalesce(F.size(F.filter(f"`{c}`", lambda x: x.isNotNull())), F.lit(0)) if isinstance(t.df.schema[c].dataType, T.ArrayType) and c not in t.links else F.col(f"`{c}`").isNotNull().cast("int")
+            counts.setdefault(C.predicate_of(t, c, namespace), []).append(F.coalesce(F.sum(F.when(key, value)), F.lit(0)))
+        counts.setdefault(RDF_TYPE, []).append(F.count_if(key))
+        for r in relationships:
+            if r.from_table == t.name and r.to_column == by_name[r.to_table].primary_key:
+                both = F.count_if(key & F.col(f"`{r.from_column}`").isNotNull())
+                for p in filter(None, (r.predicate, r.inverse_predicate)):
+                    counts.setdefault(predicate_iri(p, namespace), []).append(both)
+        pairs = F.array(*(F.struct(F.lit(p).alias("predicate"), reduce(lambda x, y: x + y, n).cast("long").alias("n")) for p, n in counts.items()))
+        parts.append(t.df.agg(pairs.alias("pairs")).select(F.explode("pairs").alias("e")).select("e.*"))
+    for r in relationships:
+        if r.to_column != by_name[r.to_table].primary_key:
+            parts.append(C.edge_triples(r, by_name, namespace).groupBy("predicate").agg(F.count("*").alias("n")))
+    return C.union(parts, spark).groupBy("predicate").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def references(triples: DataFrame) -> DataFrame:
     """IRIs that triples other than types point to, once each."""
     return triples.where(F.col("is_iri") & (F.col("predicate") != RDF_TYPE)).select(F.col("object").alias("iri")).distinct()

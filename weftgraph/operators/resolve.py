@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -34,45 +35,51 @@ def phonetic(a: Table, b: Table, column: tuple[str, str], soundex: bool = False)
     return left.join(right, "sound")
 
 
+def _numbered(low: Column) -> Column:
+    """The characters of a text, numbered, so that a multiset is a set: the second a is a2."""
+    chars = F.split(low, "")
+    # sorted, equal characters stand together: a character's number is its distance from the first of them
+    ranked = F.array_sort(chars)
+    return F.transform(ranked, lambda c, i: F.concat(c, (i - F.array_position(ranked, c).cast("int") + 2).cast("string")))
+
+
 def fuzzy(a: Table, b: Table, column: tuple[str, str], threshold: float = 0.85) -> DataFrame:
     """Pairs of distinct values, lower-cased, whose similarity ratio (difflib) is at least ``threshold``, and the ratio.
 
-    A pair at ratio r shares at least r * (n + m) / 2 characters as a multiset and has lengths with min/max >= r / (2 - r), so only
-    pairs that share one of their rarest characters' tokens are compared: for a text of n characters, prefixes of its numbered
-    characters in a global order meet (prefix filter for the overlap bound). No cross join, and no pair is lost."""
+    A pair at ratio r shares at least r * (n + m) / 2 characters as a multiset, so its lengths are within a factor of r / (2 - r), and of
+    each text's characters all but ceil(least overlap) - 1 suffice to meet (a prefix filter): those that the fewest texts of both sides
+    have, by counted frequency. A text meets others by its rarest characters together with a band of lengths; bands are wide enough that
+    partners are in the same or the next one. Then the multisets' overlap, counted exactly, cuts what is compared. No cross join,
+    and no pair is lost."""
+    ratio_ = threshold / (2 - threshold)
+
     def side(t: Table, c: str, s: str) -> DataFrame:
-        low = F.lower(f"{s}_value")
-        v = _values(t, c, s).select(f"{s}_value").distinct().withColumn("low", low).where(F.length("low") > 0)
-        # numbered characters make a multiset a set: the second a is a2
-        return v.withColumn("n", F.length("low"))
-
-    def tokens(texts: pd.Series) -> pd.Series:
-        def of(t: str) -> list[str]:
-            seen: dict[str, int] = {}
-            out = []
-            for ch in t:
-                seen[ch] = seen.get(ch, 0) + 1
-                out.append(f"{ch}{seen[ch]}")
-            return out
-
-        return texts.map(of)
-
-    numbered = F.pandas_udf(tokens, "array<string>")
+        v = _values(t, c, s).select(f"{s}_value").distinct().withColumn(f"{s}_low", F.lower(f"{s}_value")).where(F.length(f"{s}_low") > 0)
+        return v.withColumns({f"{s}_n": F.length(f"{s}_low"), f"{s}_chars": _numbered(F.col(f"{s}_low"))})
+
     left, right = side(a, column[0], "a"), side(b, column[1], "b")
-    # of one text of length n the least possible partner overlap is ceil(r / (2 - r) * n); prefix = n - overlap + 1, in the order of
-    # the tokens' text, last first: later numbers and rarer letters make longer tokens sort late
-    least = F.ceil(F.lit(threshold / (2 - threshold)) * F.col("n") - 1e-9)
-    prefix = lambda df: df.withColumn("token", F.explode(F.slice(F.reverse(F.array_sort(numbered("low"))), F.lit(1), (F.col("n") - least + 1).cast("int"))))
-    right = right.withColumnsRenamed({"low": "low_b", "n": "n_b"})
-    rp = right.withColumn("low", F.col("low_b")).withColumn("n", F.col("n_b"))
-    met = prefix(left).join(prefix(rp).select("token", "b_value", "low_b", "n_b"), "token")
-    bound = F.least("n", "n_b") * 2 >= F.lit(threshold) * (F.col("n") + F.col("n_b"))
-    pairs = met.where(bound).select("a_value", "b_value", "low", "low_b").distinct()
+    both = left.select(F.explode("a_chars").alias("token")).unionAll(right.select(F.explode("b_chars").alias("token")))
+    often = both.groupBy("token").agg(F.count("*").alias("often"))  # as many rows as there are characters and repetitions
+
+    def rarest(df: DataFrame, s: str) -> DataFrame:
+        tokens = df.dropDuplicates([f"{s}_low"]).select(f"{s}_low", f"{s}_n", F.explode(f"{s}_chars").alias("token")).join(often, "token")
+        kept = (F.col(f"{s}_n") - F.ceil(F.lit(ratio_) * F.col(f"{s}_n") - 1e-9) + 1).cast("int")
+        own = tokens.groupBy(f"{s}_low", f"{s}_n").agg(F.slice(F.array_sort(F.collect_list(F.struct("often", "token"))), F.lit(1), F.first(kept)).alias("rare"))
+        return own.select(f"{s}_low", f"{s}_n", F.explode("rare.token").alias("token"))
+
+    # bands grow by the factor that partners' lengths may differ by
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(-math.log(ratio_)) + 1e-9).cast("int") if ratio_ < 1 else n
+    lp = rarest(left, "a").withColumn("band", band(F.col("a_n")))
+    near = F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1) if ratio_ < 1 else F.array("at")
+    rp = rarest(right, "b").withColumn("at", band(F.col("b_n"))).withColumn("band", F.explode(near)).drop("at")
+    met = lp.join(rp, ["token", "band"]).where(F.least("a_n", "b_n") * 2 >= F.lit(threshold) * (F.col("a_n") + F.col("b_n"))).select("a_low", "b_low").distinct()
+    pairs = met.join(left, "a_low").join(right, "b_low")
+    pairs = pairs.where(F.size(F.array_intersect("a_chars", "b_chars")) * 2 >= F.lit(threshold) * (F.col("a_n") + F.col("b_n")) - 1e-9)
 
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype=float)
 
-    return pairs.withColumn("ratio", F.pandas_udf(ratio, "double")("low", "low_b")).where(F.col("ratio") >= threshold).select("a_value", "b_value", "ratio")
+    return pairs.withColumn("ratio", F.pandas_udf(ratio, "double")("a_low", "b_low")).where(F.col("ratio") >= threshold).select("a_value", "b_value", "ratio")
 
 
 def same_as(a: Table, b: Table, column: tuple[str, str], matches: DataFrame, namespace: str) -> DataFrame:

@@ -14,7 +14,8 @@ def added(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def modified(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(subject, predicate) that both have with different sets of objects. Sets are compared by sorted arrays of one key."""
+    """(subject, predicate) that both have with different sets of objects. Sets are compared by their
+    size, the sum of their members' hashes and their least member, so no set is gathered."""
     sets = lambda df, name: df.select(*_KEY).distinct().groupBy("subject", "predicate").agg(F.count("*").alias(f"n_{name}"), F.sum(F.xxhash64("object").cast("decimal(38,0)")).alias(f"h_{name}"), F.min("object").alias(f"m_{name}"))
     both = sets(old, "old").join(sets(new, "new"), ["subject", "predicate"])
     return both.where("n_old <> n_new or h_old <> h_new or m_old <> m_new").select("subject", "predicate")

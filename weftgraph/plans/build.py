@@ -54,6 +54,17 @@ def tables_of(spark: SparkSession, config: dict, salt: str = "") -> list[C.Table
     return out
 
 
+def salt_of(config: dict) -> str:
+    """What hash masks are salted with: the environment variable that governance.pii.salt_env names, else WEFTGRAPH_SALT. A hash without a
+    salt is undone by a dictionary, so hash masks without one are an error."""
+    variable = ((config.get("governance") or {}).get("pii") or {}).get("salt_env") or "WEFTGRAPH_SALT"
+    salt = os.environ.get(variable, "")
+    hashed = [f"{t['name']}.{c}" for t in config["tables"] for c, s in t["columns"].items() if s.get("mask") in ("hash", "hash32")]
+    if hashed and not salt:
+        raise cfg.ConfigError([{"path": f"tables.{name}", "message": f"a hash mask needs a salt in {variable}"} for name in hashed])
+    return salt
+
+
 def check(spark: SparkSession, config: dict) -> dict:
     """Every error and warning there is, with the tables' profiles."""
     errors, warnings, profiles, tables = cfg.lint(config), [], {}, {}
@@ -97,8 +108,7 @@ def build(spark: SparkSession, config: dict, output_dir: str | None = None, fail
         raise cfg.ConfigError(report["errors"])
     if config["project"]["strict"] and len(config["tables"]) > 1 and not config["relationships"]:
         raise cfg.ConfigError([{"path": "relationships", "message": "a strict project with several tables declares its relationships"}])
-    salt = os.environ.get("WEFTGRAPH_SALT", "")
-    tables = tables_of(spark, config, salt)
+    tables = tables_of(spark, config, salt_of(config))
     marks = {t.name: [str(x) for x in versions.fingerprint(t.df).first()] for t in tables}
     known = f"{out}/manifest.json"
     if config["project"]["incremental"] and os.path.exists(known):
@@ -181,4 +191,4 @@ def inspect(folder: str) -> dict:
     return {"files": sorted(os.listdir(folder))}
 
 
-__all__ = ["Result", "build", "check", "graph_of", "inspect", "open_package", "tables_of"]
+__all__ = ["Result", "build", "check", "graph_of", "inspect", "open_package", "salt_of", "tables_of"]

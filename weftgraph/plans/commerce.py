@@ -35,5 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> Table:
     return Table(name, source(spark, sf_dir, name), entity, key, properties, links)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> TableGraph:
-    return TableGraph(spark, [table(spark, sf_dir, n) for n in TABLES], RELATIONSHIPS, NAMESPACE)
+def graph(spark: SparkSession, sf_dir: str, *names: str) -> TableGraph:
+    """The whole graph, or data and types of some tables without declared edges."""
+    return TableGraph(spark, [table(spark, sf_dir, n) for n in names or TABLES], [] if names else RELATIONSHIPS, NAMESPACE)

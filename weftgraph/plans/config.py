@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 from ..functions.terms import pascal
@@ -62,50 +64,124 @@ def load(path: str) -> dict:
     return normalize(raw or {}, str(Path(path).resolve().parent))
 
 
-def _column(spec) -> dict:
-    spec = {"property": spec} if isinstance(spec, str) else dict(spec or {})
-    if spec.get("pii") and not spec.get("mask"):
-        spec["mask"] = "hash"
+@dataclass(frozen=True)
+class Field:
+    """One field of the normalised form: where it may stand in a configuration, by dotted paths of which the first with a value counts,
+    what it is without one, and what is made of the value found."""
+
+    name: str
+    paths: tuple[str, ...]
+    default: object = None
+    made: Callable = lambda value: value
+
+
+def _field(name: str, *paths: str, default=None, made: Callable = lambda value: value) -> Field:
+    return Field(name, paths or (name,), default, made)
+
+
+def _at(spec, path: str):
+    """What a dotted path leads to; None if a step is missing."""
+    for step in path.split("."):
+        spec = spec.get(step) if isinstance(spec, dict) else None
     return spec
 
 
+def _read(fields: list[Field], spec: dict, flags: bool = False) -> dict:
+    """The fields' values. A value that is false or empty counts as none, but where ``flags`` are read."""
+    out = {}
+    for f in fields:
+        values = (v for v in (_at(spec, p) for p in f.paths) if (v is not None if flags else v))
+        out[f.name] = f.made(next(values, f.default))
+    return out
+
+
+def _named_columns(columns) -> dict:
+    """Columns as a mapping: given so, or as a list of mappings with names, or of names."""
+    if isinstance(columns, list):
+        return {c["name"]: c for c in columns} if columns and isinstance(columns[0], dict) else {c: {} for c in columns}
+    return dict(columns or {})
+
+
+def _both(*names: str) -> tuple[str, ...]:
+    """A project's fields may stand beside ``project`` in older files."""
+    return tuple(p for n in names for p in (f"project.{n}", n))
+
+
+_PROJECT = [
+    _field("name", *_both("name"), default="project"),
+    _field("namespace", *_both("namespace"), default="https://example.com/kg"),
+    _field("output_dir", *_both("output_dir"), default="gold", made=str),
+]
+_FLAGS = [
+    _field("strict", *_both("strict"), default=True, made=bool),
+    _field("fail_on_invalid_fk", *_both("fail_on_invalid_fk"), default=True, made=bool),
+    _field("fail_on_missing_pk", *_both("fail_on_missing_pk"), default=True, made=bool),
+    _field("fail_on_duplicate_pk", *_both("fail_on_duplicate_pk"), default=True, made=bool),
+    _field("incremental", *_both("incremental"), default=False, made=bool),
+]
+_TABLE = [
+    _field("name"),
+    _field("source", "source", "path", "table"),
+    _field("format"),
+    _field("entity", "entity", "entity_type"),
+    _field("primary_key", "primary_key", "id_column"),
+    _field("columns", "columns", "property_map", made=_named_columns),
+    _field("masks", "pii_policy.columns", made=_named_columns),
+]
+_RELATIONSHIP = [
+    _field("name"),
+    _field("from_table", "from.table", "from_table", "source_table"),
+    _field("from_column", "from.column", "from_column", "source_column"),
+    _field("to_table", "to.table", "to_table", "target_table", "to_entity"),
+    _field("to_column", "to.column", "to_column", "target_column", default="id"),
+    _field("predicate"),
+    _field("inverse_predicate"),
+    _field("cardinality", default="many_to_one"),
+    _field("required", default=False, made=bool),
+    _field("declared_by", "declared_by", "actor", default="unknown"),
+    _field("ticket", "ticket", "ticket_ref", default=""),
+    _field("description", "description", "justification", default=""),
+]
+_REST = [
+    _field("iri", default={"strategy": "namespace"}),
+    _field("governance", default={}),
+    _field("security", default={}),
+    _field("outputs", "outputs", "output", default={}, made=lambda v: {"files": v} if isinstance(v, list) else v),
+    _field("store", made=lambda v: v if isinstance(v, dict) else {"enabled": bool(v), "path": v}),
+]
+
+
+def _table(raw: dict, base_dir: str, default_mask: str) -> dict:
+    t = _read(_TABLE, raw)
+    t["name"] = t["name"] or Path(str(t["source"])).stem
+    t["entity"] = t["entity"] or pascal(t["name"])
+    source, masks = t["source"], t.pop("masks")
+    if source and t["format"] != "table" and not looks_remote(str(source)) and not os.path.isabs(str(source)):
+        t["source"] = os.path.normpath(os.path.join(base_dir, str(source)))
+    t["columns"] = {c: {"property": s} if isinstance(s, str) else dict(s or {}) for c, s in t["columns"].items()}
+    for c, strategy in masks.items():
+        t["columns"].setdefault(c, {})["mask"] = strategy or default_mask
+    for spec in t["columns"].values():
+        if spec.get("pii") and not spec.get("mask"):
+            spec["mask"] = default_mask
+    return t
+
+
+def _relationship(raw: dict, actor: str | None) -> dict:
+    r = _read(_RELATIONSHIP, {"declared_by": actor} | raw)
+    r["predicate"] = r["predicate"] or f"ex:{r['name'] or 'relatedTo'}"
+    r["name"] = r["name"] or f"{r['from_table']}_{r['from_column']}_to_{r['to_table']}"
+    return r
+
+
 def normalize(raw: dict, base_dir: str = ".") -> dict:
-    """The current form (project, tables) and the older one (sources with entity_type, id_column and property_map) in one."""
-    head = raw.get("project") if isinstance(raw.get("project"), dict) else {}
-    get = lambda k, default: head.get(k, raw.get(k, default))
-    project = {"name": get("name", None) or "project", "namespace": get("namespace", None) or "https://example.com/kg", "output_dir": str(get("output_dir", None) or "gold")}
-    project |= {k: bool(get(k, d)) for k, d in (("strict", True), ("fail_on_invalid_fk", True), ("fail_on_missing_pk", True), ("fail_on_duplicate_pk", True), ("incremental", False))}
-    tables = []
-    for t in raw.get("tables") or raw.get("sources") or []:
-        source = t.get("source") or t.get("path") or t.get("table")
-        name = t.get("name") or Path(str(source)).stem
-        if source and t.get("format") != "table" and not looks_remote(str(source)) and not os.path.isabs(str(source)):
-            source = os.path.normpath(os.path.join(base_dir, str(source)))
-        columns = t.get("columns") or t.get("property_map") or {}
-        columns = {c["name"]: c for c in columns} if isinstance(columns, list) else columns
-        masks = (t.get("pii_policy") or {}).get("columns") or {}
-        masks = {c: "hash" for c in masks} if isinstance(masks, list) else masks
-        made = {c: _column(s) for c, s in columns.items()}
-        for c, strategy in masks.items():
-            made.setdefault(c, {})["mask"] = strategy
-        tables.append({"name": name, "source": source, "format": t.get("format"), "entity": t.get("entity") or t.get("entity_type") or pascal(name), "primary_key": t.get("primary_key") or t.get("id_column"), "columns": made})
-    relationships = []
-    for r in raw.get("relationships") or []:
-        a, b = r.get("from") or {}, r.get("to") or {}
-        one = lambda *names: next((r[n] for n in names if r.get(n)), None)  # noqa: B023, E731
-        ft, fc = a.get("table") or one("from_table", "source_table"), a.get("column") or one("from_column", "source_column")
-        tt, tc = b.get("table") or one("to_table", "target_table", "to_entity"), b.get("column") or one("to_column", "target_column") or "id"
-        relationships.append({
-            "name": r.get("name") or f"{ft}_{fc}_to_{tt}", "from_table": ft, "from_column": fc, "to_table": tt, "to_column": tc, "predicate": r.get("predicate") or f"ex:{r.get('name') or 'relatedTo'}",
-            "inverse_predicate": r.get("inverse_predicate"), "cardinality": r.get("cardinality", "many_to_one"), "required": bool(r.get("required")), "declared_by": one("declared_by", "actor") or raw.get("actor") or "unknown",
-            "ticket": one("ticket", "ticket_ref") or "", "description": one("description", "justification") or "",
-        })
-    outputs = raw.get("outputs") or raw.get("output") or {}
-    store = raw.get("store")
-    return {
-        "project": project, "tables": tables, "relationships": relationships, "iri": raw.get("iri") or {"strategy": "namespace"}, "governance": raw.get("governance") or {}, "security": raw.get("security") or {},
-        "outputs": {"files": outputs} if isinstance(outputs, list) else outputs, "store": store if isinstance(store, dict) else {"enabled": bool(store), "path": store},
-    }
+    """The current form (project, tables) and the older one (sources with entity_type, id_column and property_map) in one, by the
+    fields above. Personal data without a mask of its own gets governance.pii.default_mask, else hash."""
+    out = {"project": _read(_PROJECT, raw) | _read(_FLAGS, raw, flags=True)} | _read(_REST, raw)
+    default_mask = _at(raw, "governance.pii.default_mask") or "hash"
+    out["tables"] = [_table(t, base_dir, default_mask) for t in raw.get("tables") or raw.get("sources") or []]
+    out["relationships"] = [_relationship(r, raw.get("actor")) for r in raw.get("relationships") or []]
+    return out
 
 
 def formats(config: dict) -> list[str]:

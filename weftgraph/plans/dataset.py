@@ -42,6 +42,10 @@ def matches(col: Column, t: Term) -> Column:
 class TripleSet:
     """Triples as (s, p, o): s and p strings, o a term."""
 
+    def with_subject(self, iri: str) -> TripleSet:
+        """The triples of a subject."""
+        return TripleSet(self.source.where(F.col("subject") == iri))
+
     def __init__(self, triples: DataFrame, distinct: bool = True):
         self.spark = triples.sparkSession
         self.source = C.as_set(triples) if distinct else triples
@@ -72,6 +76,47 @@ class TableGraph(TripleSet):
     def source(self) -> DataFrame:
         return C.as_set(C.graph(list(self.tables.values()), self.relationships, self.namespace, self.spark, self.strategy))
 
+    def with_subject(self, iri: str) -> TripleSet:
+        """The part of the graph that can hold triples of this subject: a table whose entity it is, filtered by the key, and declared
+        edges whose end it is, filtered by the column that makes it. Everything else is left out."""
+        return self._part(iri, subjects_only=True)
+
+    def around(self, iri: str) -> TripleSet:
+        """The same with triples that have the IRI as their object."""
+        return self._part(iri, subjects_only=False)
+
+    def _part(self, iri: str, subjects_only: bool) -> TripleSet:
+        parts: list[DataFrame] = []
+
+        def rows_with(t: C.Table, column: str, entity: str) -> DataFrame | None:
+            key = terms.key_of(iri, self.namespace, entity, t.df.schema[column].dataType, self.strategy)
+            if key is None:
+                return None
+            if key is NotImplemented:
+                return t.df.where(terms.minted(self.namespace, entity, F.col(f"`{column}`"), self.strategy) == iri)
+            return t.df.where(F.col(f"`{column}`") == F.lit(key))
+
+        def of(t: C.Table, df: DataFrame) -> C.Table:
+            return C.Table(t.name, df, t.entity, t.primary_key, t.properties, t.links)
+
+        for t in self.tables.values():
+            own = rows_with(t, t.primary_key, t.entity)
+            if own is not None:
+                parts += [C.table_triples(of(t, own), self.namespace, strategy=self.strategy), C.type_triples(of(t, own), self.namespace, self.strategy)]
+            for column, entity in () if subjects_only else t.links.items():
+                pointing = rows_with(t, column, entity)
+                if pointing is not None:
+                    parts.append(C.table_triples(of(t, pointing.select(*dict.fromkeys([t.primary_key, column]))), self.namespace, strategy=self.strategy))
+        for r in self.relationships:
+            a, b = self.tables[r.from_table], self.tables[r.to_table]
+            ends = [rows_with(a, a.primary_key, a.entity), rows_with(a, r.from_column, b.entity) if r.to_column == b.primary_key else (a.df if iri.startswith(f"{terms.base(self.namespace)}/{b.entity}/") else None)]
+            for df in ends:
+                if df is not None:
+                    parts.append(C.edge_triples(r, self.tables | {a.name: of(a, df)}, self.namespace, self.strategy))
+        found = C.union(parts, self.spark)
+        hit = F.col("subject") == iri
+        return TripleSet(found.where(hit if subjects_only else hit | (F.col("is_iri") & (F.col("object") == iri))))
+
     @cached_property
     def columns(self) -> dict[str, list[tuple[str, str]]]:
         """(table, column) pairs by the predicate that they make."""

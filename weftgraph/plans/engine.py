@@ -135,7 +135,7 @@ class QueryEngine:
             raise ValueError("; ".join(errors))
         began, who = time.time(), self.policies.of(role)
         data = self.data
-        if who.denied_terms or who.deny_entities:
+        if who.deny_properties or who.mask_properties or who.allow_properties or who.deny_entities or who.allow_entities:
             # what is denied is taken out before the query, and the answer is filtered, too
             data = TripleSet(who.filter_triples(data.source), distinct=False)
         out = who.filter_rows(policy.redact(sparql.run(data, query, self.query_policy.default_limit), self.query_policy.denied_terms))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..operators import compile as C
 from ..operators import explore, mask, profile, resolve, validate, versions
-from ..sources import export
-from . import commerce, meta, nl, policy, sparql
+from ..sources import export, readers, store
+from . import build, commerce, config, meta, nl, policy, shared, sparql
 from .commerce import NAMESPACE as NS
 
 QUERIES: dict = {}
@@ -156,9 +158,13 @@ def iri_hash_strategy(spark, sf_dir):
     return commerce.source(spark, sf_dir, "customer").select(terms.minted(NS, "Customer", F.col("c_custkey"), "hash").alias("iri"))
 
 
-@query()
+_UUID = f"sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('{NS}/Customer/' || c_custkey))"
+
+
+@query(f"""SELECT c_custkey, '{NS}/Customer/' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', CAST('0x' || h[17:17] AS INT) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS iri
+FROM (SELECT c_custkey, {_UUID} AS h FROM customer)""")
 def iri_uuid5_strategy(spark, sf_dir):
-    """[P2] tested against the library."""
+    """[P2] also tested against the library."""
     return commerce.source(spark, sf_dir, "customer").select("c_custkey", terms.minted(NS, "Customer", F.col("c_custkey"), "uuid5").alias("iri"))
 
 
@@ -173,7 +179,7 @@ def graph_as_set(spark, sf_dir):
 @query(f"SELECT predicate, count(*) AS n FROM ({_ALL}) GROUP BY predicate")
 def triple_counts_by_predicate(spark, sf_dir):
     """[A4 A8]"""
-    return profile.property_distribution(whole(spark, sf_dir))
+    return profile.predicate_counts([commerce.table(spark, sf_dir, n) for n in commerce.TABLES], commerce.RELATIONSHIPS, NS)
 
 
 @query(" UNION ALL ".join(f"SELECT '{e}' AS class, count(*) AS n FROM {t}" for t, (e, *_) in commerce.TABLES.items()))
@@ -273,7 +279,7 @@ ask("sparql_optional_join", 'SELECT ?c ?n WHERE { ?c ex:inNation ?x OPTIONAL { ?
 ask("sparql_union", 'SELECT ?x ?b WHERE { { ?x ex:basedIn ?n . ?n schema:name ?b } UNION { ?x ex:segment ?b FILTER(?b = "MACHINERY") } }', f"SELECT {_SU} AS x, n_name AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT {_C}, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY'")
 ask("sparql_minus", 'SELECT ?c WHERE { ?c a ex:Customer MINUS { ?o ex:placedBy ?c ; ex:priority "1-URGENT" } }', f"SELECT {_C} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 ask("sparql_exists", "SELECT ?c WHERE { ?c a ex:Customer FILTER EXISTS { ?o ex:placedBy ?c ; ex:totalAmount ?t FILTER(?t > 300000) } }", f"SELECT {_C} AS c FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-ask("sparql_not_exists", "SELECT ?n WHERE { ?n a ex:Nation FILTER NOT EXISTS { ?s ex:basedIn ?n } }", f"SELECT {_N} AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+ask("sparql_not_exists", "SELECT ?c WHERE { ?c a ex:Customer FILTER NOT EXISTS { ?o ex:placedBy ?c ; ex:totalAmount ?t FILTER(?t > 300000) } }", f"SELECT {_C} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 ask("sparql_bind", "SELECT ?p ?half ?big WHERE { ?p schema:price ?r BIND(FLOOR(?r / 2) AS ?half) BIND(IF(?r > 1500, \"big\", \"small\") AS ?big) }", f"SELECT {_P} AS p, CAST(CAST(floor(p_retailprice / 2) AS BIGINT) AS VARCHAR) AS half, CASE WHEN p_retailprice > 1500 THEN 'big' ELSE 'small' END AS big FROM part")
 ask("sparql_values", 'SELECT ?c ?s ?k WHERE { VALUES (?s ?k) { ("BUILDING" 1) ("MACHINERY" 2) } ?c ex:segment ?s }', f"SELECT {_C} AS c, c_mktsegment AS s, CASE WHEN c_mktsegment = 'BUILDING' THEN '1' ELSE '2' END AS k FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 ask("sparql_subselect", "SELECT ?name ?m WHERE { ?x schema:name ?name ; a ex:Nation . { SELECT ?x (MAX(?b) AS ?m) WHERE { ?c ex:inNation ?x ; ex:balance ?b } GROUP BY ?x } }", "SELECT n_name AS name, CAST(max(c_acctbal) AS VARCHAR) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
@@ -284,7 +290,7 @@ ask("sparql_order_limit", "SELECT ?o ?t WHERE { ?o ex:totalAmount ?t } ORDER BY
 ask("sparql_distinct", "SELECT DISTINCT ?s ?p WHERE { ?o ex:placedBy ?c ; ex:priority ?p . ?c ex:segment ?s }", f"SELECT DISTINCT c_mktsegment AS s, o_orderpriority AS p FROM {_JOIN}")
 ask("sparql_group_concat", 'SELECT ?r (GROUP_CONCAT(?name; SEPARATOR="|") AS ?names) WHERE { ?n ex:inRegion ?r ; schema:name ?name } GROUP BY ?r', f"SELECT '{NS}/Region/' || n_regionkey AS r, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 ask("sparql_path_seq", "SELECT ?o ?r WHERE { ?o ex:placedBy/ex:inNation/ex:inRegion ?r }", f"SELECT {_O} AS o, '{NS}/Region/' || n_regionkey AS r FROM {_JOIN} JOIN nation ON c_nationkey = n_nationkey")
-ask("sparql_path_inverse", "SELECT ?n ?c WHERE { ?n ^ex:inNation ?c ; schema:name \"FRANCE\" }", f"SELECT {_N} AS n, {_C} AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'FRANCE'")
+ask("sparql_path_inverse", "SELECT ?n ?c WHERE { ?n ^ex:inNation ?c ; schema:name \"NATION_1\" }", f"SELECT {_N} AS n, {_C} AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_1'")
 ask("sparql_path_alt", "SELECT ?x ?n WHERE { ?x ex:inNation|ex:basedIn ?n }", f"SELECT {_C} AS x, '{NS}/Nation/' || c_nationkey AS n FROM customer UNION ALL SELECT {_SU}, '{NS}/Nation/' || s_nationkey FROM supplier")
 ask("sparql_path_plus", "SELECT ?a ?b WHERE { ?a (ex:inRegion|ex:hasNation)+ ?b }", f"WITH RECURSIVE e AS (SELECT {_N} AS a, '{NS}/Region/' || n_regionkey AS b FROM nation UNION SELECT '{NS}/Region/' || n_regionkey, {_N} FROM nation), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a, b FROM p")
 _HOPS = f"e AS (SELECT {_N} AS a, '{NS}/Region/' || n_regionkey AS b FROM nation UNION SELECT '{NS}/Region/' || n_regionkey, {_N} FROM nation)"
@@ -314,16 +320,16 @@ def plan_path_join(spark, sf_dir):
 
 
 # --- exploration -------------------------------------------------------------------------------------------------------
-@query(f"SELECT subject, split_part(min(predicate || chr(1) || object), chr(1), 1) AS predicate, split_part(min(predicate || chr(1) || object), chr(1), 2) AS object FROM ({_data_sql('nation', 'supplier', types=True)}) WHERE contains(lower(subject), 'an') OR contains(lower(predicate), 'an') OR contains(lower(object), 'an') GROUP BY subject ORDER BY subject LIMIT 15")
+@query(f"SELECT subject, split_part(min(predicate || chr(1) || object), chr(1), 1) AS predicate, split_part(min(predicate || chr(1) || object), chr(1), 2) AS object FROM ({_data_sql('nation', 'supplier', types=True)}) WHERE contains(lower(subject), 'tion_1') OR contains(lower(predicate), 'tion_1') OR contains(lower(object), 'tion_1') GROUP BY subject ORDER BY subject LIMIT 15")
 def search_entities(spark, sf_dir):
     """[F2]"""
-    return explore.search(triples(spark, sf_dir, "nation", "supplier"), "AN", limit=15)
+    return explore.search(triples(spark, sf_dir, "nation", "supplier"), "TION_1", limit=15)
 
 
 @query(f"SELECT predicate, array_to_string(list_sort(list(object)), '|') AS objects FROM ({_data_sql('customer', types=True)}) WHERE subject = '{NS}/Customer/7' GROUP BY predicate")
 def entity_facts(spark, sf_dir):
     """[F3]"""
-    return explore.facts(triples(spark, sf_dir, "customer"), f"{NS}/Customer/7").select("predicate", F.array_join("objects", "|").alias("objects"))
+    return explore.facts(commerce.graph(spark, sf_dir, "customer").with_subject(f"{NS}/Customer/7").source, f"{NS}/Customer/7").select("predicate", F.array_join("objects", "|").alias("objects"))
 
 
 _NEAR = f"SELECT {_O} AS subject, '{NS}/o_custkey' AS predicate, {_PLACED[1]} AS object FROM orders"
@@ -332,7 +338,7 @@ _NEAR = f"SELECT {_O} AS subject, '{NS}/o_custkey' AS predicate, {_PLACED[1]} AS
 @query(f"SELECT 1 AS hop, 'in' AS direction, subject, predicate, object FROM ({_NEAR}) WHERE object = '{NS}/Customer/7' UNION ALL SELECT 1, 'out', {_C}, '{NS}/c_nationkey', '{NS}/Nation/' || c_nationkey FROM customer WHERE c_custkey = 7")
 def entity_neighbours(spark, sf_dir):
     """[F4]"""
-    return explore.neighbours(triples(spark, sf_dir, "customer", "orders"), f"{NS}/Customer/7", limit=1000)
+    return explore.neighbours(commerce.graph(spark, sf_dir, "customer", "orders").around(f"{NS}/Customer/7").source, f"{NS}/Customer/7", limit=1000)
 
 
 @query(f"""WITH e AS (SELECT {_N} AS s, '{NS}/Region/' || n_regionkey AS o FROM nation), h1 AS (SELECT 1 AS hop, 'out' AS direction, s AS subject, o AS object FROM e WHERE s = '{NS}/Nation/3'),
@@ -356,23 +362,43 @@ def token_overlap_topk(spark, sf_dir):
     return explore.token_overlap(triples(spark, sf_dir, "nation", "part"), "Nation an steel", 20)
 
 
-@query("SELECT vec_id FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings) ORDER BY c DESC, vec_id LIMIT 10")
+@query("SELECT vec_id, CAST(round(c * 1000000) AS BIGINT) AS millionths FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings) ORDER BY c DESC, vec_id LIMIT 10")
 def vector_topk(spark, sf_dir):
     """[T7 C22]"""
     vectors = commerce.source(spark, sf_dir, "embeddings")
-    return explore.vector_top_k(vectors, "vec_id", "embedding", vectors.where("vec_id = 0").first().embedding).select("vec_id")
+    return explore.vector_top_k(vectors, "vec_id", "embedding", vectors.where("vec_id = 0").first().embedding).select("vec_id", F.round(F.col("cosine") * 1000000).cast("long").alias("millionths"))
 
 
-@query()
+def _values(columns: str, rows: list[tuple]) -> str:
+    """SQL of a few fixed rows."""
+    text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+_D, _T, _V = terms.PREFIXES["dcat"], terms.PREFIXES["dcterms"], terms.PREFIXES["prov"]
+_LINEAGE = [(f"{_V}{p}", n, of) for p, n, of in (("startedAtTime", 1, 1), ("wasAssociatedWith", 1, 1), ("used", len(commerce.TABLES), 1), ("atLocation", len(commerce.TABLES), len(commerce.TABLES)))]
+_CATALOG = [(f"{NS}/catalog", R, f"{_D}Catalog", True, None), (f"{NS}/catalog", f"{_T}title", "commerce", False, f"{X}string"), (f"{NS}/catalog", f"{_T}issued", "then", False, f"{X}dateTime"), (f"{NS}/catalog", f"{_T}identifier", f"{NS}/catalog", False, f"{X}string")]
+for _n in commerce.TABLES:
+    _d = f"{NS}/dataset/{_n}"
+    _CATALOG += [(f"{NS}/catalog", f"{_D}dataset", _d, True, None), (_d, R, f"{_D}Dataset", True, None), (_d, f"{_T}title", _n, False, f"{X}string"), (_d, f"{_T}identifier", _n, False, f"{X}string"), (_d, f"{_T}issued", "then", False, f"{X}dateTime")]
+    _CATALOG += [(_d, f"{_D}distribution", f"{_d}/distribution", True, None), (f"{_d}/distribution", R, f"{_D}Distribution", True, None), (f"{_d}/distribution", f"{_D}accessURL", f"{_n}.parquet", False, f"{X}string"), (f"{_d}/distribution", f"{_D}mediaType", "application/parquet", False, f"{X}string")]
+
+
+@query(_values("predicate, n, subjects", _LINEAGE))
 def lineage_triples(spark, sf_dir):
-    """[F5 P14] times and run ids differ from run to run."""
-    return explore.lineage(meta.provenance(spark, {n: f"{sf_dir}/{n}.parquet" for n in commerce.TABLES}, NS))
+    """[F5 P14] as counts by predicate: times and run ids differ from run to run."""
+    return _by_predicate(explore.lineage(meta.provenance(spark, {n: f"{sf_dir}/{n}.parquet" for n in commerce.TABLES}, NS)))
 
 
-@query()
+@query(_values("subject, predicate, object, is_iri, datatype", _CATALOG))
 def catalog_triples(spark, sf_dir):
-    """[P12]"""
-    return meta.catalog(spark, {n: f"{sf_dir}/{n}.parquet" for n in commerce.TABLES}, NS, "commerce")
+    """[P12] without the times of issue, which differ from run to run."""
+    made = meta.catalog(spark, {n: f"{n}.parquet" for n in commerce.TABLES}, NS, "commerce")
+    return made.withColumn("object", F.when(F.col("predicate").endswith("issued"), "then").otherwise(F.col("object"))).select("subject", "predicate", "object", "is_iri", "datatype")
+
+
+def _by_predicate(triples: DataFrame) -> DataFrame:
+    return triples.groupBy("predicate").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"))
 
 
 # --- resolution --------------------------------------------------------------------------------------------------------
@@ -424,26 +450,27 @@ def _old_new(spark, sf_dir):
     return make(c.df.where("c_custkey % 7 <> 0")), make(c.df.where("c_custkey % 5 <> 0").withColumn("c_mktsegment", F.expr("if(c_custkey % 11 = 0, 'NEW', c_mktsegment)")))
 
 
-_OLD = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 7 <> 0"
-_NEW = "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 5 <> 0"
+_OLD = "SELECT * FROM customer WHERE c_custkey % 7 <> 0"
+_NEW = "SELECT * REPLACE (CASE WHEN c_custkey % 11 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment) FROM customer WHERE c_custkey % 5 <> 0"
 
 
 def _version_sql(rows: str) -> str:
-    return " UNION ALL ".join(f"SELECT {_C} AS subject, '{p}' AS predicate, {o} AS object FROM ({rows})" for p, o in ((f"{NS}#segment", "c_mktsegment"),))
+    """All data triples of changed customers; the nation is a literal here, since the versions declare no link."""
+    made = _data_sql("customer").replace(" FROM customer ", f" FROM ({rows}) ").replace(f"'{NS}/Nation/' || CAST(c_nationkey AS VARCHAR)", "CAST(c_nationkey AS VARCHAR)")
+    return f"SELECT subject, predicate, object FROM ({made})"
 
 
 @query(f"({_version_sql(_NEW)}) EXCEPT ({_version_sql(_OLD)})")
 def snapshot_added(spark, sf_dir):
     """[X2 J9]"""
-    old, new = _old_new(spark, sf_dir)
-    return versions.added(old, new).where(F.col("predicate") == f"{NS}#segment")
+    return versions.added(*_old_new(spark, sf_dir))
 
 
 @query(f"({_version_sql(_OLD)}) EXCEPT ({_version_sql(_NEW)})")
 def snapshot_removed(spark, sf_dir):
     """[X2]"""
     old, new = _old_new(spark, sf_dir)
-    return versions.added(new, old).where(F.col("predicate") == f"{NS}#segment")
+    return versions.added(new, old)
 
 
 @query(f"SELECT {_C} AS subject, '{NS}#segment' AS predicate FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 11 = 0")
@@ -458,10 +485,14 @@ def snapshot_unchanged_pairs(spark, sf_dir):
     return versions.unchanged_pairs(*_old_new(spark, sf_dir))
 
 
-@query()
+@query("SELECT true AS same_after_shuffling, true AS other_after_a_change, true AS other_after_a_repeated_row, count(*) AS rows FROM customer")
 def fingerprint(spark, sf_dir):
-    """[I1] xxhash64 is not in SQL; the tests hold it against changed content."""
-    return versions.fingerprint(commerce.source(spark, sf_dir, "customer"))
+    """[I1] what it tells apart; xxhash64 itself is not in SQL."""
+    customer = commerce.source(spark, sf_dir, "customer")
+    mark = lambda df, name: versions.fingerprint(df).select(F.struct("*").alias(name))
+    changed = customer.withColumn("c_name", F.when(F.col("c_custkey") == 7, "other").otherwise(F.col("c_name")))
+    marks = mark(customer, "a").crossJoin(mark(customer.repartition(7), "b")).crossJoin(mark(changed, "c")).crossJoin(mark(customer.union(customer.where("c_custkey = 7")), "d"))  # one row each
+    return marks.select((F.col("a") == F.col("b")).alias("same_after_shuffling"), (F.col("a") != F.col("c")).alias("other_after_a_change"), (F.col("a") != F.col("d")).alias("other_after_a_repeated_row"), F.col("a.rows").alias("rows"))
 
 
 # --- exports -----------------------------------------------------------------------------------------------------------
@@ -499,23 +530,223 @@ def redacted_rows(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN contains(c_mktsegment, 'BUILD') THEN NULL WHEN contains(c_mktsegment, 'MACH') THEN '[MASKED]' ELSE c_mktsegment END AS c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100")
 def role_masked_rows(spark, sf_dir):
     """[F14 T4]"""
-    role = policy.Role(denied_terms=["BUILD", "c_name"], masked_terms=["MACH"], max_rows=100)
+    role = policy.Role(deny_properties=["BUILD", "c_name"], mask_properties=["MACH"], max_rows=100)
     return role.filter_rows(commerce.source(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name").orderBy("c_custkey"))
 
 
+# --- readers, stores, packages -----------------------------------------------------------------------------------------------------
+def _written(spark, sf_dir, name: str, format: str, **options) -> str:
+    """A table written in another format to the shared folder."""
+    path = f"{shared.folder(spark)}/{name}-{uuid.uuid4().hex}.{format}"
+    commerce.source(spark, sf_dir, name).write.format({"tsv": "csv", "jsonl": "json"}.get(format, format)).options(**options).save(path)
+    return path
+
+
+def _reads(name: str, table: str, format: str, sql: str, doc: str, **options) -> None:
+    def run(spark, sf_dir):
+        return readers.read_table(spark, _written(spark, sf_dir, table, format, **options))
+
+    run.__name__, run.__doc__ = name, doc
+    query(sql)(run)
+
+
+_reads("read_csv", "supplier", "csv", "SELECT CAST(s_suppkey AS INT) AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier", "[S1 S3 S9]", header=True)
+_reads("read_tsv", "nation", "tsv", "SELECT * FROM nation", "[S1 S3]", header=True, sep="\t")
+_reads("read_jsonl", "customer", "jsonl", "SELECT c_acctbal, c_custkey, c_mktsegment, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer", "[S1 S4 S9]")
+_reads("read_orc", "part", "orc", "SELECT * FROM part", "[S1 S10]")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def read_pandas(spark, sf_dir):
+    """[S1 S8]"""
+    return readers.read_table(spark, commerce.source(spark, sf_dir, "nation").toPandas())
+
+
+@query("SELECT r_regionkey, upper(r_name) AS r_name FROM region")
+def read_by_connector(spark, sf_dir):
+    """[S10] a format of one's own."""
+    readers.register("shouted", lambda spark, source, **o: spark.read.parquet(source).withColumn("r_name", F.upper("r_name")))
+    return readers.read_table(spark, f"{sf_dir}/region.parquet", "shouted")
+
+
+_REGION_NATION = _data_sql("nation", "region", types=True)
+
+
+@query(f"SELECT DISTINCT subject, predicate, object, is_iri, datatype FROM ({_REGION_NATION})")
+def ntriples_round_trip(spark, sf_dir):
+    """[K2 K5 S12] written, and read back from text."""
+    path = f"{shared.folder(spark)}/graph-{uuid.uuid4().hex}"
+    export.write(triples(spark, sf_dir, "nation", "region"), path, "ntriples")
+    return readers.read_ntriples(spark, path).select("subject", "predicate", "object", "is_iri", "datatype").distinct()
+
+
+@query(f"SELECT DISTINCT subject, predicate, object, is_iri, datatype FROM ({_data_sql('customer', 'nation', types=True)}) WHERE predicate IN ('{S}name', '{R}')")
+def store_round_trip(spark, sf_dir):
+    """[K11 D9] by predicate."""
+    path = f"{shared.folder(spark)}/store-{uuid.uuid4().hex}"
+    store.write(triples(spark, sf_dir, "customer", "nation"), path)
+    return store.read(spark, path, f"{S}name").unionByName(store.read(spark, path, R)).select("subject", "predicate", "object", "is_iri", "datatype")
+
+
+@query(f"""WITH o AS ({_version_sql(_OLD)}), n AS ({_version_sql(_NEW)}) SELECT (SELECT count(*) FROM (SELECT * FROM n EXCEPT SELECT * FROM o)) AS added, (SELECT count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM n)) AS removed,
+(SELECT count(*) FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 11 = 0) AS modified, 'new' AS latest, CAST(2 AS BIGINT) AS snapshots""")
+def snapshot_history(spark, sf_dir):
+    """[K12 S13 C20]"""
+    kept = store.Versions(spark, f"{shared.folder(spark)}/versions-{uuid.uuid4().hex}")
+    for tag, version in zip(("old", "new"), _old_new(spark, sf_dir)):
+        kept.snapshot(version, tag)
+    d = kept.diff("old", "new")
+    return spark.createDataFrame([(d["added"], d["removed"], d["modified"], kept.latest()["tag"], len(kept.list()))], "added long, removed long, modified long, latest string, snapshots long")
+
+
+@query(f"""SELECT '{{"@id":"{NS}/Region/' || r_regionkey || '","predicate":"{S}name","object":"' || r_name || '"}}' AS value FROM region""")
+def jsonld_each(spark, sf_dir):
+    """[K14]"""
+    return export.jsonld_each(C.table_triples(commerce.table(spark, sf_dir, "region"), NS))
+
+
+@query(_values("subject, predicate, object, is_iri, datatype", [(f"{NS}/a", f"{NS}#knows", f"{NS}/b", True, None), (f"{NS}/a", f"{NS}#age", "7", False, f"{X}integer")]))
+def manual_triples(spark, sf_dir):
+    """[P11]"""
+    rows = [{"subject": f"{NS}/a", "predicate": f"{NS}#knows", "object": f"{NS}/b", "is_iri": True}, {"subject": f"{NS}/a", "predicate": f"{NS}#age", "object": "7", "datatype": f"{X}integer"}]
+    return C.manual_triples(spark, rows).select("subject", "predicate", "object", "is_iri", "datatype")
+
+
+def _config(sf_dir: str) -> dict:
+    """The commerce tables as a configuration, in the form of a file."""
+    return config.normalize({
+        "project": {"name": "commerce", "namespace": NS, "strict": True},
+        "tables": [{"name": n, "source": f"{sf_dir}/{n}.parquet", "entity": e, "primary_key": k, "columns": {c: {"property": q} for c, q in p.items()}} for n, (e, k, p, _) in commerce.TABLES.items() if n in ("region", "nation", "customer", "orders")],
+        "relationships": [{"name": r.name, "from": {"table": r.from_table, "column": r.from_column}, "to": {"table": r.to_table, "column": r.to_column}, "predicate": r.predicate, "inverse_predicate": r.inverse_predicate} for r in commerce.RELATIONSHIPS if r.from_table != "supplier"],
+    })
+
+
+_BUILT = _data_sql("region", "nation", "customer", "orders", types=True) + "".join(
+    f" UNION ALL SELECT {_iri(r.from_table, commerce.TABLES[r.from_table][1])}, '{NS}#{p[3:]}', {_iri(r.to_table, r.from_column)}, true, NULL, 'edge' FROM {r.from_table}"
+    for r in commerce.RELATIONSHIPS if r.from_table != "supplier" for p in (r.predicate, r.inverse_predicate) if p
+)
+
+
+@query(f"SELECT predicate, kind, count(*) AS n FROM ({_BUILT}) GROUP BY ALL")
+def build_package(spark, sf_dir):
+    """[C1 C2 C3 K11 K13 S16] a whole build; what is in its store, without catalog and provenance."""
+    out = f"{shared.local(spark)}/build-{uuid.uuid4().hex}"
+    build.build(spark, _config(sf_dir) | {"outputs": {"files": ["graph.nt"]}}, out)
+    return store.read(spark, f"{out}/store").where("kind in ('data', 'type', 'edge')").groupBy("predicate", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(count(*) - count(DISTINCT l_orderkey) > 0 AS BOOLEAN) AS duplicate_key, true AS orphans, true AS strange_mask, true AS bad_namespace FROM lineitem")
+def validate_config(spark, sf_dir):
+    """[C2 J1 A2 A10] all errors of a bad configuration at once."""
+    raw = {
+        "project": {"namespace": "commerce"},
+        "tables": [{"name": "l", "source": f"{sf_dir}/lineitem.parquet", "entity": "L", "primary_key": "l_orderkey", "columns": {"l_tax": {"mask": "rot13"}}}, {"name": "n", "source": f"{sf_dir}/nation.parquet", "entity": "N", "primary_key": "n_nationkey"}],
+        "relationships": [{"from": {"table": "l", "column": "l_partkey"}, "to": {"table": "n", "column": "n_nationkey"}, "predicate": "ex:p"}],
+    }
+    errors = build.check(spark, config.normalize(raw))["errors"]
+    has = lambda *parts: any(all(p in f"{e['path']} {e['message']}".lower() for p in parts) for e in errors)
+    return spark.createDataFrame([(has("l_orderkey") or has("unique") or has("duplicate"), has("l_l_partkey_to_n") or has("orphan"), has("rot13"), has("namespace"))], "duplicate_key boolean, orphans boolean, strange_mask boolean, bad_namespace boolean")
+
+
+@query(_values("statement, n", [("Class", 4), ("DatatypeProperty", 7), ("ObjectProperty", 3), ("inverseOf", 2), ("NodeShape", 4)]))
+def ontology_and_shapes(spark, sf_dir):
+    """[P15 P16 C29] statements by kind."""
+    text = meta.ontology(_config(sf_dir)) + meta.shapes(_config(sf_dir))
+    kinds = ("Class", "DatatypeProperty", "ObjectProperty", "inverseOf", "NodeShape")
+    return spark.createDataFrame([(k, sum(f"owl:{k} " in line or f"sh:{k} " in line for line in text.splitlines())) for k in kinds], "statement string, n int")
+
+
+# --- questions, policies -----------------------------------------------------------------------------------------------------------
+def _schema() -> nl.Schema:
+    return nl.Schema.of(commerce.TABLES, commerce.RELATIONSHIPS, NS)
+
+
+@query("SELECT CAST(count(DISTINCT p_partkey) AS VARCHAR) AS \"count\" FROM part WHERE p_retailprice > 1500")
+def plan_numeric_filter(spark, sf_dir):
+    """[F10 C11 C13]"""
+    return nl.answer(commerce.graph(spark, sf_dir), _schema(), "how many part cost above 1500")
+
+
+@query("SELECT CAST(count(DISTINCT o_orderkey) AS VARCHAR) AS \"count\" FROM orders JOIN customer ON o_custkey = c_custkey WHERE lower(c_mktsegment) = 'vip'")
+def plan_value_filter(spark, sf_dir):
+    """[F9 C11] a value that no customer has: zero is the answer."""
+    return nl.answer(commerce.graph(spark, sf_dir), _schema(), "how many order by a vip customer")
+
+
+@query("SELECT CAST(7 AS BIGINT) AS rows, true AS regions_only")
+def plan_limit(spark, sf_dir):
+    """[T3] which rows a limit keeps is open; how many and of what is not."""
+    found = nl.answer(commerce.graph(spark, sf_dir), _schema(), "show region limit 7")
+    return found.agg(F.count("*").alias("rows"), F.every(F.startswith("entity", F.lit(f"{NS}/Region/"))).alias("regions_only"))
+
+
+@query(_values("question, entities, steps, percent", [("count order with a nation", "Order,Nation", 2, 90), ("show everything", "Region", 0, 50), ("open order above 5 from a region", "Order,Region", 3, 95)]))
+def plan_confidence(spark, sf_dir):
+    """[C10 C11 C12 J7]"""
+    planner = nl.Planner(_schema())
+    plans = [planner.plan(q) for q in ("count order with a nation", "show everything", "open order above 5 from a region")]
+    return spark.createDataFrame([(p.question, ",".join(p.entities), len(p.relationships), round(100 * p.confidence)) for p in plans], "question string, entities string, steps int, percent int")
+
+
+_TEXTS = [("SELECT ?s WHERE { ?s ?p ?o }", True, 500), ("SELECT ?s WHERE { ?s ?p ?o } LIMIT 3", True, 3), ("INSERT DATA { <a:b> <a:c> <a:d> }", False, None), ("SELECT ?s WHERE { SERVICE <http://x.example> { ?s ?p ?o } }", False, None), ("SELECT ?s WHERE { ?s <a:secret> ?o }", False, None), ("SELECT ?s WHERE { ?s ?p ?o } #" + "x" * 100, False, None), ("SELECT ?s WHERE {", False, None)]
+
+
+@query(_values("query, valid, \"limit\"", _TEXTS))
+def query_policy(spark, sf_dir):
+    """[F11 F12 T1] what a query's text may be, and the limit it gets."""
+    rules = policy.QueryPolicy(max_characters=100, denied_terms=["secret"])
+    out = []
+    for text, *_ in _TEXTS:
+        parsed, errors = rules.check(text)
+        out.append((text, not errors, parsed.limit if parsed else None))
+    return spark.createDataFrame(out, 'query string, valid boolean, limit int')
+
+
+@query(_values("entity, \"column\"", [("Customer", "c_mktsegment"), ("Customer", "c_acctbal"), ("Order", "o_orderpriority")]))
+def role_schema(spark, sf_dir):
+    """[F15 C19]"""
+    role = policy.Policies.from_config({"policies": [{"role": "analyst", "allow_entities": ["Customer", "Order"], "deny_properties": ["schema:name", "total"]}]}).of("analyst")
+    return spark.createDataFrame([(t["entity"], c) for t in role.filter_schema(_schema().tables) for c in t["columns"]], "entity string, column string")
+
+
+@query(f"SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT '[MASKED]', count(*) FROM customer WHERE c_acctbal IS NOT NULL")
+def role_masked_triples(spark, sf_dir):
+    """[F14 C19] denied names are gone and masked balances masked before the query runs, under any variable."""
+    role = policy.Role(deny_properties=["schema:name", "c_nationkey"], mask_properties=["balance"])
+    return role.filter_triples(C.table_triples(commerce.table(spark, sf_dir, "customer"), NS)).groupBy(F.col("object").alias("v")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT c_mktsegment) AS tokens, count(*) AS rows, count(*) AS well_formed, count(DISTINCT c_mktsegment) AS pairs FROM customer")
+def mask_tokenize(spark, sf_dir):
+    """[C4] a random token for each value, the same wherever the value stands."""
+    shared.folder(spark)
+    both = commerce.source(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_mktsegment").alias("token"))
+    made = mask.apply(both, {"token": "tokenize"})
+    return made.agg(F.count_distinct("token").alias("tokens"), F.count("*").alias("rows"), F.count_if(F.rlike("token", F.lit("^TOK-[0-9a-f]{12}$"))).alias("well_formed"), F.count_distinct("token", "c_mktsegment").alias("pairs"))
+
+
+_NAMES = [("c_name", "PERSON"), ("work_email", "EMAIL_ADDRESS"), ("ship_ip", "IP_ADDRESS"), ("home_phone", "PHONE_NUMBER"), ("zip", "LOCATION")]
+
+
+@query(_values("\"column\", kind", _NAMES))
+def detect_pii(spark, sf_dir):
+    """[C5] ip is no part of description."""
+    return spark.createDataFrame(list(mask.detect([n for n, _ in _NAMES] + ["description", "balance"]).items()), "column string, kind string")
+
+
+ask("sparql_bound_coalesce_in", 'SELECT ?c ?v WHERE { ?c a ex:Customer ; ex:segment ?s OPTIONAL { ?o ex:placedBy ?c ; ex:priority "1-URGENT" } FILTER(?s IN ("BUILDING", "MACHINERY") && !BOUND(?o)) BIND(COALESCE(?o, "none") AS ?v) }', f"SELECT {_C} AS c, 'none' AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+ask("sparql_term_tests", "SELECT ?d (COUNT(*) AS ?n) WHERE { ?o ex:totalAmount ?t BIND(DATATYPE(?t) AS ?d) FILTER(isIRI(?o) && isLITERAL(?t) && LANG(?t) = \"\") } GROUP BY ?d", f"SELECT '{X}double' AS d, CAST(count(*) AS VARCHAR) AS n FROM orders")
+ask("sparql_sample", "SELECT ?r (SAMPLE(?name) AS ?one) WHERE { ?n ex:inRegion ?r ; schema:name ?name } GROUP BY ?r", f"SELECT '{NS}/Region/' || n_regionkey AS r, min(n_name) AS one FROM nation GROUP BY n_regionkey")
+ask("sparql_constant_subject", f"SELECT ?p ?o WHERE {{ <{NS}/Customer/7> ?p ?o }}", f"SELECT DISTINCT predicate AS p, object AS o FROM ({_ALL}) WHERE subject = '{NS}/Customer/7'")
+
+
 # --- streaming ---------------------------------------------------------------------------------------------------------
 @query(f"SELECT '{NS}/Event/' || event_id AS subject, '{NS}/event_type' AS predicate, event_type AS object FROM events UNION ALL SELECT '{NS}/Event/' || event_id, '{R}', '{NS}#Event' FROM events")
 def stream_append_triples(spark, sf_dir):
     """[2.11, an extension] Structured Streaming through the batch operators."""
-    import uuid
-
     from ..streaming import append
 
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = commerce.source(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "event_type")
     append.append(C.Table("events", rows, "Event", "event_id", {"event_type": f"{NS}/event_type"}), NS, f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import XSD
+from . import shared
 from .dataset import STRING, TripleSet, constant, matches, term
 from .sparql_parser import Call, Group, Node, Path, Query, SparqlError, Term, Triple, Var, parse
 
@@ -324,7 +325,8 @@ class Compiler:
 
     def pattern(self, p: Triple) -> Solutions:
         if isinstance(p.p, Var):
-            rows, known = self.data.scan(None), [(p.p, term(F.col("p"), True))]
+            one = isinstance(p.s, Term) and p.s.is_iri
+            rows, known = (self.data.with_subject(p.s.value) if one else self.data).scan(None), [(p.p, term(F.col("p"), True))]
         elif isinstance(p.p, Path) and p.p.op in ("plus", "star") and (isinstance(p.s, Term) or isinstance(p.o, Term)):
             rows, known = self.reachable(p.p, p.s, p.o), []
         else:
@@ -451,11 +453,7 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
 
 
 def _settler(spark: SparkSession):
-    if spark.sparkContext.getCheckpointDir() is None:
-        if folder := spark.conf.get("spark.checkpoint.dir", None):
-            spark.sparkContext.setCheckpointDir(folder)
-        else:
-            return lambda df: df.persist()
+    shared.folder(spark)
     return lambda df: df.checkpoint(eager=True)
 
 

@@ -70,9 +70,12 @@ def looks_remote(source: str) -> bool:
 _LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of an N-Triples file; one pattern a line. Comments and blank lines are skipped."""
-    lines = spark.read.text(path).where(F.rlike("value", F.lit(_LINE)))
+def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Triples of an N-Triples file; one pattern a line. Comments and blank lines are skipped; any other line that is no triple
+    is an error, or skipped, too, unless ``strict``."""
+    fits, empty = F.rlike("value", F.lit(_LINE)), F.rlike("value", F.lit(r"^\s*(#.*)?$"))
+    bad = F.raise_error(F.concat(F.lit("no triple: "), F.substring("value", 1, 200))).cast("boolean") if strict else F.lit(False)
+    lines = spark.read.text(path).where(F.when(fits, True).when(empty, False).otherwise(bad))
     part = lambda i: F.regexp_extract("value", _LINE, i)
     iri = F.rlike("value", F.lit(r"^\s*<[^>]*>\s+<[^>]*>\s+<"))
     text = F.replace(part(4), F.lit("\\\\"), F.lit("\x00"))
