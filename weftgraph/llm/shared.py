@@ -13,10 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the shared folder of ``spark.checkpoint.dir``; sets one only where none is set (tests)."""
+    """Keeps the shared folder of ``spark.checkpoint.dir``. Where none is set, a local session (tests) gets a temporary one; on a
+    cluster that is an error, since no folder of one machine would do."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        chosen = spark.conf.get("spark.checkpoint.dir", None)
+        if chosen is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(chosen or tempfile.mkdtemp(prefix="weftgraph-"))
 
 
 def settle(df: DataFrame) -> DataFrame:
