@@ -221,3 +221,21 @@ def test_ntriples_that_do_not_parse_are_an_error(spark, tmp_path):
     assert readers.read_ntriples(spark, f"{tmp_path}/g.nt", strict=False).count() == 1
     with pytest.raises(Exception, match="no triple"):
         readers.read_ntriples(spark, f"{tmp_path}/g.nt").collect()
+
+
+def test_registry_and_removed_tables(spark):
+    tables, rels = shop(spark)
+    known = C.Registry(rels)
+    assert known.get("placed_by") is rels[0] and known.list("orders") == known.list("customers") == rels and known.list("other") == []
+    assert known.to_dict()["placed_by"]["predicate"] == "ex:placedBy"
+    with pytest.raises(ValueError, match="twice"):
+        known.declare(rels[0])
+    known.remove("placed_by")
+    assert known.list() == []
+    with pytest.raises(KeyError):
+        known.get("placed_by")
+    g = TableGraph(spark, tables, rels, NS).without_table("orders")
+    key = ["subject", "predicate", "object"]
+    assert sorted(map(tuple, g.source.select(*key).collect())) == sorted(map(tuple, C.as_set(C.graph(tables[:1], [], NS, spark)).select(*key).collect()))
+    with pytest.raises(KeyError):
+        g.without_table("orders")

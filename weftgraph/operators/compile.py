@@ -59,6 +59,34 @@ def _triple(p: str, o: Column, is_iri: bool, datatype: str | None, kind: str) ->
     return F.struct(F.lit(p).alias("predicate"), o.cast("string").alias("object"), F.lit(is_iri).alias("is_iri"), F.lit(datatype).cast("string").alias("datatype"), F.lit(kind).alias("kind"))
 
 
+class Registry:
+    """Declared relationships by name. A second declaration of a name is an error, so that none replaces another without a word."""
+
+    def __init__(self, relationships: list[Relationship] = ()):
+        self._by_name: dict[str, Relationship] = {}
+        for r in relationships:
+            self.declare(r)
+
+    def declare(self, relationship: Relationship) -> Relationship:
+        if relationship.name in self._by_name:
+            raise ValueError(f"relationship {relationship.name} is declared twice")
+        self._by_name[relationship.name] = relationship
+        return relationship
+
+    def get(self, name: str) -> Relationship:
+        return self._by_name[name]
+
+    def list(self, table: str | None = None) -> list[Relationship]:
+        """All, or those that a table is an end of, as declared."""
+        return [r for r in self._by_name.values() if table in (None, r.from_table, r.to_table)]
+
+    def remove(self, name: str) -> Relationship:
+        return self._by_name.pop(name)
+
+    def to_dict(self) -> dict[str, dict]:
+        return {name: dict(r.__dict__) for name, r in self._by_name.items()}
+
+
 def _exploded(df: DataFrame, subject: Column, source: str, structs: Column) -> DataFrame:
     out = df.select(subject.alias("subject"), F.explode(structs).alias("t")).where("subject is not null and t.object is not null")
     return out.select("subject", "t.predicate", "t.object", "t.is_iri", "t.datatype", F.lit(None).cast("string").alias("lang"), F.lit(source).alias("source_table"), "t.kind")

@@ -76,6 +76,14 @@ class TableGraph(TripleSet):
     def source(self) -> DataFrame:
         return C.as_set(C.graph(list(self.tables.values()), self.relationships, self.namespace, self.spark, self.strategy))
 
+    def without_table(self, name: str) -> TableGraph:
+        """The graph of the other tables, without the relationships that the table is an end of."""
+        if name not in self.tables:
+            raise KeyError(name)
+        others = [t for t in self.tables.values() if t.name != name]
+        kept = [r for r in self.relationships if name not in (r.from_table, r.to_table)]
+        return TableGraph(self.spark, others, kept, self.namespace, self.unique - {name}, self.strategy)
+
     def with_subject(self, iri: str) -> TripleSet:
         """The part of the graph that can hold triples of this subject: a table whose entity it is, filtered by the key, and declared
         edges whose end it is, filtered by the column that makes it. Everything else is left out."""
