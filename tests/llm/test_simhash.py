@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import simhash
 from weftgraph.llm.components import connected_components
+from weftgraph.llm.shared import join_labels
 
 
 def brute_fingerprint(text):
@@ -119,3 +120,15 @@ def test_one_row_of_each_component_stays(spark):
     only_null = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "x y z w v u")], "doc_id long, text string")
     assert sorted(r.text for r in simhash.representatives(only_null).collect()) == ["a b c", "x y z w v u"]
     assert simhash.representatives(docs.where("false")).count() == 0
+
+
+def test_labels_reach_hot_and_other_keys(spark):
+    """One key has half of all rows; whatever counts as hot, every row gets its label once."""
+    keys = [0] * 60 + [1] * 20 + list(range(2, 42))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    labels = spark.createDataFrame([(k, f"label {k}", keys.count(k)) for k in set(keys)], "k long, label string, n long")
+    for hot_keys in (1, 3, 10, 1000):
+        got = join_labels(rows, labels, "k", hot_keys)
+        assert got.columns == ["k", "i", "label"]
+        assert sorted((r.i, r.label) for r in got.collect()) == [(i, f"label {k}") for i, k in enumerate(keys)]
+    assert join_labels(rows.where("false"), labels.where("false"), "k").count() == 0

@@ -30,6 +30,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot if it holds more than one in HOT_KEYS rows; so there are fewer hot keys than this, whatever the table's size.
+HOT_KEYS = 10_000
+
+
+def join_labels(rows: DataFrame, labels: DataFrame, key: str, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """``rows`` with what ``labels`` says of their ``key`` (not null): one row for each key, and in ``n`` how many rows have it.
+
+    Hot keys are broadcast, and their rows stay where they are; the others are shuffled, of which none then holds more than one in
+    ``hot_keys`` rows. Both sides are read twice, so they should be settled."""
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > F.lit(total) / hot_keys
+    hot, cold = F.broadcast(labels.where(is_hot).drop("n")), labels.where(~is_hot).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import batches_as_lists, settle, table, text_rows
+from .shared import batches_as_lists, join_labels, settle, table, text_rows
 
 #: Members of a cell: an anchor with more is cut into a grid.
 CELL_ROWS = 1024
@@ -144,13 +144,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, size: int = 3, seed: in
     it is nobody's component_id unless all of a component's ids are null (then null). Repeated rows give repeated
     rows. An empty table gives none. Columns other than doc_id and text are ignored."""
     own = settle(fingerprints(docs, size, seed))
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
     label = connected_components(links(nodes.select("fp"), threshold))
-    linked = nodes.join(label, nodes.fp == label.node).select("fp", "component", "least_id")
-    of_component = linked.groupBy("component").agg(F.min("least_id").alias("component_least"))
-    merged = linked.join(of_component, "component").select(F.col("fp").alias("merged_fp"), "component_least", "component")
-    least = nodes.join(merged, F.col("fp") == F.col("merged_fp"), "left").select(F.col("fp").alias("node_fp"), F.when(F.col("merged_fp").isNotNull(), F.col("component_least")).otherwise(F.col("least_id")).alias("component_id"), F.coalesce("component", "fp").alias("component_fp"))
-    return own.join(least, own.fp == least.node_fp, "left").select("doc_id", "fp", "component_id", "component_fp")
+    linked = settle(nodes.join(label, nodes.fp == label.node).select("fp", "component", "least_id"))
+    of_component = settle(linked.groupBy("component").agg(F.min("least_id").alias("component_least"), F.count("*").alias("n")))
+    merged = join_labels(linked, of_component, "component").select(F.col("fp").alias("merged_fp"), "component_least", "component")
+    component_id = F.when(F.col("merged_fp").isNotNull(), F.col("component_least")).otherwise(F.col("least_id")).alias("component_id")
+    least = nodes.join(merged, F.col("fp") == F.col("merged_fp"), "left").select("fp", component_id, F.coalesce("component", "fp").alias("component_fp"), "n")
+    return join_labels(own, settle(least), "fp").select("doc_id", "fp", "component_id", "component_fp")
 
 
 def representatives(docs: DataFrame, threshold: int = 3, size: int = 3, seed: int = 42) -> DataFrame:
