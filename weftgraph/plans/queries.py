@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..operators import compile as C
 from ..operators import explore, mask, profile, resolve, validate, versions
-from ..sources import export, readers, store
+from ..sources import export, rdf, readers, store
 from . import build, commerce, config, meta, nl, policy, shared, sparql
 from .commerce import NAMESPACE as NS
 
@@ -280,6 +280,7 @@ ask("sparql_union", 'SELECT ?x ?b WHERE { { ?x ex:basedIn ?n . ?n schema:name ?b
 ask("sparql_minus", 'SELECT ?c WHERE { ?c a ex:Customer MINUS { ?o ex:placedBy ?c ; ex:priority "1-URGENT" } }', f"SELECT {_C} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 ask("sparql_exists", "SELECT ?c WHERE { ?c a ex:Customer FILTER EXISTS { ?o ex:placedBy ?c ; ex:totalAmount ?t FILTER(?t > 300000) } }", f"SELECT {_C} AS c FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 ask("sparql_not_exists", "SELECT ?c WHERE { ?c a ex:Customer FILTER NOT EXISTS { ?o ex:placedBy ?c ; ex:totalAmount ?t FILTER(?t > 300000) } }", f"SELECT {_C} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+ask("sparql_exists_in_expression", 'SELECT ?c ?busy WHERE { ?c a ex:Customer ; ex:balance ?b FILTER(?b < 0 || EXISTS { ?o ex:placedBy ?c ; ex:totalAmount ?t FILTER(?t > 300000) }) BIND(IF(NOT EXISTS { ?p ex:placedBy ?c }, "no", "yes") AS ?busy) }', f"SELECT {_C} AS c, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'yes' ELSE 'no' END AS busy FROM customer WHERE c_acctbal < 0 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 ask("sparql_bind", "SELECT ?p ?half ?big WHERE { ?p schema:price ?r BIND(FLOOR(?r / 2) AS ?half) BIND(IF(?r > 1500, \"big\", \"small\") AS ?big) }", f"SELECT {_P} AS p, CAST(CAST(floor(p_retailprice / 2) AS BIGINT) AS VARCHAR) AS half, CASE WHEN p_retailprice > 1500 THEN 'big' ELSE 'small' END AS big FROM part")
 ask("sparql_values", 'SELECT ?c ?s ?k WHERE { VALUES (?s ?k) { ("BUILDING" 1) ("MACHINERY" 2) } ?c ex:segment ?s }', f"SELECT {_C} AS c, c_mktsegment AS s, CASE WHEN c_mktsegment = 'BUILDING' THEN '1' ELSE '2' END AS k FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 ask("sparql_subselect", "SELECT ?name ?m WHERE { ?x schema:name ?name ; a ex:Nation . { SELECT ?x (MAX(?b) AS ?m) WHERE { ?c ex:inNation ?x ; ex:balance ?b } GROUP BY ?x } }", "SELECT n_name AS name, CAST(max(c_acctbal) AS VARCHAR) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
@@ -580,6 +581,25 @@ def ntriples_round_trip(spark, sf_dir):
     return readers.read_ntriples(spark, path).select("subject", "predicate", "object", "is_iri", "datatype").distinct()
 
 
+def _back(name: str, format: str, read) -> None:
+    def run(spark, sf_dir):
+        path = f"{shared.folder(spark)}/graph-{uuid.uuid4().hex}"
+        export.write(triples(spark, sf_dir, "nation", "region"), path, format)
+        return read(spark, path).select("subject", "predicate", "object", "is_iri", "datatype").distinct()
+
+    run.__doc__ = f"[K1 K4 S12] {format} written, and read back file by file."
+    query(f"SELECT DISTINCT subject, predicate, object, is_iri, datatype FROM ({_REGION_NATION})")(_named(run, name))
+
+
+def _named(f, name: str):
+    f.__name__ = name
+    return f
+
+
+_back("turtle_round_trip", "turtle", rdf.read_turtle)
+_back("rdfxml_round_trip", "rdfxml", rdf.read_rdfxml)
+
+
 @query(f"SELECT DISTINCT subject, predicate, object, is_iri, datatype FROM ({_data_sql('customer', 'nation', types=True)}) WHERE predicate IN ('{S}name', '{R}')")
 def store_round_trip(spark, sf_dir):
     """[K11 D9] by predicate."""

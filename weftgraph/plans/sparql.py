@@ -8,6 +8,7 @@ whose errors count as false. Closures of property paths are rounds of joins with
 
 from __future__ import annotations
 
+from dataclasses import fields, is_dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -225,13 +226,16 @@ class Compiler:
             elif item.kind == "bind":
                 e, v = item.args
                 base = out or Solutions(_unit(self.spark))
-                out = Solutions(base.df.withColumn(v.name, evaluate(e, set(base.names)).as_term()), base.maybe | {v.name})
+                flagged, e = self.flagged(base, e)
+                bound = flagged.df.withColumn(v.name, evaluate(e, set(flagged.names)).as_term())
+                out = Solutions(bound.select(*(f"`{n}`" for n in base.names if n != v.name), f"`{v.name}`"), base.maybe | {v.name})
             elif item.kind == "values":
                 out = self.join(out, self.values(*item.args))
         out = settle(out) or Solutions(_unit(self.spark))
         for f in filters:
             if f.kind == "filter":
-                out = Solutions(out.df.where(_true(f.args[0], out.names)), out.maybe)
+                flagged, e = self.flagged(out, f.args[0])
+                out = Solutions(flagged.df.where(_true(e, flagged.names)).select(*(f"`{n}`" for n in out.names)), out.maybe)
             else:
                 out = self.exists(out, *f.args)
         return out
@@ -263,7 +267,7 @@ class Compiler:
 
     def optional(self, a: Solutions, g: Group) -> Solutions:
         """A filter directly in the optional group sees the variables outside, so it is part of the join's condition."""
-        inner = [i for i in g.items if isinstance(i, Node) and i.kind == "filter"]
+        inner = self.own_filters(a, g)
         b = self.group(Group([i for i in g.items if i not in inner]))
         outside = {n for f in inner for n in _variables(f.args[0])} & set(a.names) - set(b.names)
         if not outside:
@@ -293,7 +297,7 @@ class Compiler:
         return Solutions(a.df.join(right, cond, "left_anti"), a.maybe)
 
     def exists(self, a: Solutions, g: Group, negated: bool) -> Solutions:
-        inner = [i for i in g.items if isinstance(i, Node) and i.kind == "filter"]
+        inner = self.own_filters(a, g)
         b = self.group(Group([i for i in g.items if i not in inner]))
         shared = [n for n in a.names if n in b.names]
         right = b.df.select(*(F.col(f"`{n}`").alias(f"{n}\x00r" if n in shared else n) for n in b.names))
@@ -305,6 +309,33 @@ class Compiler:
             cond = cond & _true(f.args[0], {*a.names, *b.names})
         return Solutions(a.df.join(right, cond, "left_anti" if negated else "left_semi"), a.maybe)
 
+    def flagged(self, a: Solutions, e) -> tuple[Solutions, object]:
+        """For each EXISTS within an expression a column that says whether it holds, and the expression with that column's name in its
+        place. It is asked once for each combination of the variables that the pattern shares, and joined by them."""
+        if not isinstance(e, Call):
+            return a, e
+        if e.name != "EXISTS":
+            args = []
+            for x in e.args:
+                a, x = self.flagged(a, x)
+                args.append(x)
+            return a, replace(e, args=tuple(args))
+        flag, keys = f"\x00exists{len(a.names)}", sorted(_mentioned(e.args[0]) & set(a.names))
+        asked = a.df.select(*(f"`{n}`" for n in keys)).distinct() if keys else _unit(self.spark)
+        held = self.exists(Solutions(asked, a.maybe & set(keys)), e.args[0], False).df.select(*(F.col(f"`{n}`").alias(f"{n}\x00r") for n in keys), F.lit(True).alias("\x00held"))
+        same = reduce(lambda c, n: c & F.col(f"`{n}`").eqNullSafe(F.col(f"`{n}\x00r`")), keys, F.lit(True))
+        truth = term(F.coalesce(F.col("`\x00held`"), F.lit(False)).cast("string"), False, XSD + "boolean").alias(flag)
+        return Solutions(a.df.join(held, same, "left").select(*(f"`{n}`" for n in a.names), truth), a.maybe), Var(flag)
+
+    def own_filters(self, a: Solutions, g: Group) -> list[Node]:
+        """The filters of a group that see the variables outside. One with an EXISTS within is left to the group, which must bind what it names."""
+        filters = [i for i in g.items if isinstance(i, Node) and i.kind == "filter"]
+        nested = [f for f in filters if any(c.name == "EXISTS" for c in _calls(f.args[0]))]
+        bound = _mentioned([i for i in g.items if i not in filters])
+        if any(_mentioned(f) & set(a.names) - bound for f in nested):
+            raise SparqlError("an EXISTS within an inner group's expression cannot name variables of the outer group alone")
+        return [f for f in filters if f not in nested]
+
     # patterns
     def bgp(self, patterns: list[Triple]) -> Solutions:
         parts: list[Solutions] = []
@@ -457,6 +488,14 @@ def _settler(spark: SparkSession):
     return lambda df: df.checkpoint(eager=True)
 
 
+def _mentioned(x) -> set[str]:
+    """All variables that stand anywhere in a part of a query."""
+    if isinstance(x, Var):
+        return {x.name}
+    parts = x if isinstance(x, list | tuple) else [getattr(x, f.name) for f in fields(x)] if is_dataclass(x) else ()
+    return {n for p in parts for n in _mentioned(p)}
+
+
 def _variables(e) -> set[str]:
     return {e.name} if isinstance(e, Var) else {n for a in e.args for n in _variables(a)} if isinstance(e, Call) else set()
 
