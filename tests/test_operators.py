@@ -128,6 +128,27 @@ def test_fuzzy_loses_no_pair(spark):
     assert {(r.a_value, r.b_value) for r in resolve.fuzzy(a, b, ("v", "v")).collect()} == want
 
 
+def test_same_as_makes_every_pair_once_and_shuffles_none(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(resolve, "CELL_ROWS", 3, raising=False)
+    # keys repeat with equal and other values, or are null; many share one value, a few have one of their own
+    rows = lambda n: [(rng.choice([None, *range(n)]), rng.choice(["x", "x", "x", "y", "z", "", None, str(i)])) for i in range(2 * n)]
+    one, two = rows(30), rows(20)
+    a = C.Table("a", spark.createDataFrame(one, "k long, v string"), "A", "k")
+    b = C.Table("b", spark.createDataFrame(two, "k long, v string"), "B", "k")
+    met = {("x", "x"), ("x", "y"), ("y", "x"), ("z", "z"), ("", ""), ("1", "2"), ("w", "x")}
+    found = resolve.same_as(a, b, ("v", "v"), spark.createDataFrame([*met, *met], "a_value string, b_value string"), NS)
+    iri = lambda e, k: None if k is None else f"{NS}/{e}/{k}"
+    want = {(iri("A", k), iri("B", j)) for k, v in one for j, w in two if (v, w) in met}
+    got = [(r.subject, r.object) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert found.columns == C.COLUMNS and found.select("kind", "source_table", "is_iri", "predicate").distinct().collect() == [("sameas", "a", True, terms.SAME_AS)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+    empty = resolve.same_as(a, b, ("v", "v"), spark.createDataFrame([], "a_value string, b_value string"), NS)
+    assert empty.collect() == []
+
+
 def test_versions_store_and_exports(spark, tmp_path):
     tables, rels = shop(spark)
     triples = C.graph(tables, rels, NS, spark)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from .compile import COLUMNS, Table
 
+#: Entities of a side that a cell of ``same_as`` has, about: a set of values that more have is cut into blocks.
+CELL_ROWS = 2048
+
 
 def _values(t: Table, column: str, side: str) -> DataFrame:
     return t.df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{t.primary_key}`").alias(f"{side}_key"), F.col(f"`{column}`").cast("string").alias(f"{side}_value"))
@@ -83,9 +86,27 @@ def fuzzy(a: Table, b: Table, column: tuple[str, str], threshold: float = 0.85)
 
 
 def same_as(a: Table, b: Table, column: tuple[str, str], matches: DataFrame, namespace: str) -> DataFrame:
-    """sameAs triples between the entities whose values matched (a_value, b_value), by their keys."""
-    pairs = matches.select("a_value", "b_value").distinct().join(_values(a, column[0], "a"), "a_value").join(_values(b, column[1], "b"), "b_value")
+    """sameAs triples between the entities whose values matched (a_value, b_value), by their keys.
+
+    There may be far more pairs than entities, so a pair is neither shuffled nor made twice: every entity stands once, with the set of
+    its values, sets meet once, and what makes pairs is the last join. Sets of many entities are cut into blocks, and each pair of
+    blocks is a cell of its own; so a task's work is bounded, also where a few values hold all rows."""
+
+    def dealt(t: Table, c: str, s: str) -> tuple[DataFrame, DataFrame]:
+        """(iri, set, block) of every entity, and (value, set, blocks) of every set and each of its values."""
+        own = _values(t, c, s).groupBy(terms.minted(namespace, t.entity, F.col(f"{s}_key")).alias(f"{s}_iri")).agg(F.array_sort(F.collect_set(f"{s}_value")).alias(f"{s}_set"))
+        sets = own.groupBy(f"{s}_set").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(f"{s}_blocks"))
+        hot = F.broadcast(sets.where(f"{s}_blocks > 1"))  # fewer than one in CELL_ROWS entities
+        block = F.pmod(F.xxhash64(f"{s}_iri"), F.coalesce(F.col(f"{s}_blocks"), F.lit(1))).cast("int").alias(f"{s}_block")
+        return own.join(hot, f"{s}_set", "left").select(f"{s}_iri", f"{s}_set", block), sets.withColumn(f"{s}_value", F.explode(f"{s}_set"))
+
+    (left, left_sets), (right, right_sets) = dealt(a, column[0], "a"), dealt(b, column[1], "b")
+    met = left_sets.join(matches.select("a_value", "b_value").distinct(), "a_value").join(right_sets, "b_value").select("a_set", "a_blocks", "b_set", "b_blocks").distinct()
+    cells = met.withColumn("a_block", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))).withColumn("b_block", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1))).drop("a_blocks", "b_blocks")
+    cell = ["a_set", "a_block", "b_set", "b_block"]
+    # a given number of partitions, as AQE would merge them by their bytes before the join, and these are few
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.join(cells, ["a_set", "a_block"]).repartition(n, *cell).join(right.join(cells, ["b_set", "b_block"]).repartition(n, *cell), cell)
     none = F.lit(None).cast("string")
-    s, o = terms.minted(namespace, a.entity, F.col("a_key")), terms.minted(namespace, b.entity, F.col("b_key"))
-    out = pairs.select(s.alias("subject"), F.lit(terms.SAME_AS).alias("predicate"), o.alias("object"), F.lit(True).alias("is_iri"), none.alias("datatype"), none.alias("lang"), F.lit(a.name).alias("source_table"), F.lit("sameas").alias("kind"))
-    return out.select(*COLUMNS).distinct()
+    out = pairs.select(F.col("a_iri").alias("subject"), F.lit(terms.SAME_AS).alias("predicate"), F.col("b_iri").alias("object"), F.lit(True).alias("is_iri"), none.alias("datatype"), none.alias("lang"), F.lit(a.name).alias("source_table"), F.lit("sameas").alias("kind"))
+    return out.select(*COLUMNS)
