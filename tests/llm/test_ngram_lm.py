@@ -1,4 +1,7 @@
 import math
+import os
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -106,3 +109,45 @@ def test_empty_table_and_no_training_rows(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     row = lm.lm_scores(spark.createDataFrame([(only, "a b", None, None)], SCHEMA)).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (True, 3, 0, 0, 0.0, 0.0)
+
+
+def shuffles(spark):
+    """Bytes on disk by shuffle."""
+    files, sizes = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"), Counter()
+    for f in filter(re.compile(r"/shuffle_\d+_\d+_\d+\.data$").search, files):
+        if os.path.exists(f):
+            sizes[int(os.path.basename(f).split("_")[1])] += os.path.getsize(f)
+    return sizes
+
+
+@pytest.mark.parametrize(("fan", "times"), [(1024, 2), (2, 3)])
+def test_messages_leave_the_disk_once_answered(spark, monkeypatch, fan, times):
+    """Direct or by relays: when the answers are settled, no shuffle of the messages is left, and none were settled as well."""
+    settle, settled = lm.settle, []
+    monkeypatch.setattr(lm, "settle", lambda df, **more: settled.append(df) or settle(df, **more))  # kept, so that no garbage collection takes their files
+    docs = spark.createDataFrame([(i, t, "s", None) for i, t in ROWS], SCHEMA).coalesce(3)
+    before = set(shuffles(spark))
+    scores = lm.lm_scores(docs, block_tokens=30, range_entries=1500, fan=fan)
+    for _ in range(100):
+        # more than what the sums of a row for each partition take
+        if not (left := {k: n for k, n in shuffles(spark).items() if k not in before and n > 1000}):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert not any("cell" in df.columns and "keys" in df.columns for df in settled)
+    assert len(settled) == times  # the blocks, the answers of orders 1 and 2, after relays those of order 3
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    want = brute(ROWS, 3)
+    got = sorted((tuple(r) for r in scores.collect()), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_relays_read_their_messages_from_one_exchange(spark):
+    sent = spark.createDataFrame([(c, s, 1, lm._pack(np.array([c << 62 | s], np.uint64), True), lm._pack(np.array([1], np.int64)), lm._pack(np.array([False]))) for c in range(2) for s in range(8)], lm._MESSAGE)
+    answers = lm.exchange(sent.mapInArrow(lambda batches: batches, lm._MESSAGE), 2, 3)
+    rows = answers.collect()
+    assert len(rows) == 16 and not any(lm._unpack(r["more"], np.int64).any() or lm._unpack(r["shared"], bool).any() for r in rows)
+    final = answers._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1

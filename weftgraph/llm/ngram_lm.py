@@ -210,7 +210,7 @@ def exchange(sent: DataFrame, groups: int, ranges: int) -> DataFrame:
     if ranges == 1:
         return sent.groupBy("cell").applyInArrow(total, _ANSWER)
     # as many relays as ranges: a group's messages are dealt to ``ranges`` of them by source
-    sent = settle(sent.withColumn("relay", F.col("cell") * ranges + F.pmod(F.xxhash64("source"), F.lit(ranges))))
+    sent = sent.withColumn("relay", F.col("cell") * ranges + F.pmod(F.xxhash64("source"), F.lit(ranges)))
 
     def pass_on(group: pa.Table) -> pa.Table:
         out, relay = [], group["relay"][0].as_py()
@@ -406,12 +406,13 @@ def lm_scores(docs: DataFrame, folds: int = 10, order: int = 3, block_tokens: in
         return run
 
     groups, ranges = shape(n_tokens * min(order, 2))
-    answers = settle(exchange(blocks.select("block", "held", "lengths", "tokens", "vocabulary").mapInArrow(first, _MESSAGE), groups, ranges))
+    answers = settle(exchange(blocks.select("block", "held", "lengths", "tokens", "vocabulary").mapInArrow(first, _MESSAGE), groups, ranges), release=True)
     n_known = answers.where("order = 1").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     for k in range(3, order + 1):
         groups, ranges = shape(n_tokens)
         more = exchange(blocks.groupBy("block").cogroup(answers.groupBy("source")).applyInArrow(later(k), _MESSAGE), groups, ranges)
-        answers = answers.unionByName(settle(more) if k < order else more)
+        # after relays the last answers are settled too: the blocks are dealt once more, but not while the relays' messages are on disk
+        answers = answers.unionByName(settle(more, release=True) if k < order or ranges > 1 else more)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -23,11 +23,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(chosen or tempfile.mkdtemp(prefix="weftgraph-"))
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: A frame made while this is set gives the files of its shuffles back when its action ends (Spark 4.1; older versions ignore it).
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, release: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared checkpoint folder and reads it from there: it is computed once,
-    its lineage ends, and a lost executor costs only a re-read."""
+    its lineage ends, and a lost executor costs only a re-read.
+
+    release: nothing reads the shuffles that made it any more, so their files go at once, not when the driver's garbage is next collected."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not release:
+        return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(RELEASE, None)
+    conf.set(RELEASE, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.unset(RELEASE) if before is None else conf.set(RELEASE, before)
 
 
 #: A key is hot if it holds more than one in HOT_KEYS rows; so there are fewer hot keys than this, whatever the table's size.
