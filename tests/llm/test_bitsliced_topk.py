@@ -50,6 +50,38 @@ def test_large_finite_values_are_exact(spark):
     assert clipped == sorted(clipped)
 
 
+def test_sums_beyond_64_bits_of_values_within_32(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, np.round(r * 2e6).tolist()) for i, r in enumerate(rng.normal(size=(120, 64)))] + [(200, [2e6] * 64), (201, [8e6] * 64), (202, [-8e6] * 64), (203, [7e6] * 64)]
+    scaled = {i: [256 * int(x) for x in v] for i, v in rows}
+    want = []
+    for i, q in scaled.items():
+        if i % 10 == 0:
+            found = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in scaled.items() if j != i)[:5]
+            want += [(i, n, j, min(m.LARGEST, max(m.LEAST, -s))) for n, (s, j) in enumerate(found, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (1000, 1):
+        assert sorted(tuple(r) for r in m.top_k(df, k=5, query_modulus=10, block=block).collect()) == sorted(want)
+
+
+def test_cells_meet_in_every_task(spark):
+    """Blocks and queries of a cell reach the same task however many there are: small tables are read by one task, large ones are not."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(400, 6)))] + [(i, [1.0] * 6) for i in range(400, 440)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {name: spark.conf.get(name) for name in conf}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        for blocks, queries in ((1, 5), (2, 1000), (1000, 3)):
+            got = m.top_k(df, k=5, query_modulus=10, block=16, cell_blocks=blocks, cell_queries=queries).collect()
+            assert sorted(tuple(r) for r in got) == brute(rows, 5, 10)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_sql_agrees_on_the_table(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")

@@ -11,7 +11,8 @@ score, and the best k are the answer.
 Index blocks are built in one narrow pass. Blocks and queries meet on a grid whose cells hold about CELL_BLOCKS blocks and CELL_QUERIES
 queries (less where that would leave cores idle), dealt by hash. So a block is copied once for CELL_QUERIES queries and a query once for
 CELL_BLOCKS * BLOCK rows, in the fewest bytes that hold its values, and a cell gives k rows for each of its queries whatever it holds.
-The best k of all cells are the answer. Values of any finite size are exact: those beyond 32 bits are worked with as Python's integers.
+The best k of all cells are the answer. Values of any finite size are exact: those beyond 32 bits, and sums that may need more than 64, are
+worked with as Python's integers.
 """
 
 from __future__ import annotations
@@ -145,6 +146,7 @@ class Block:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.values = restored(row["width"], row["values"], self.dims)
         self.small = row["width"] > 0
+        self.top = max(1, int(self.values.max(initial=0)), -int(self.values.min(initial=0)))
         self.slices = np.frombuffer(row["slices"], np.uint64).reshape(self.dims, ATTRIBUTE_BITS, -1)
         self.all = slices(np.ones((self.n, 1), np.int64), 1)[0, 0]
 
@@ -174,8 +176,9 @@ class Block:
         used = w.astype(object) << coarse
         lost = (used * ((1 << self.shift) - 1)).sum(axis=1) + (np.abs(weight - used) * full).sum(axis=1)
         chosen = at_least(sums, among, top_sums(sums, among, k) - (-(-2 * lost // unit)).astype(np.int64))
-        exact = np.int64 if self.small and int(weight.max(initial=0)) < 1 << 31 else object
-        for query, rows in zip(queries, np.unpackbits(chosen.view(np.uint8), axis=1, bitorder="little")[:, : self.n]):
+        reach = weight.sum(axis=1) * self.top  # no score, and no part of its sum, is larger
+        for query, most, rows in zip(queries, reach, np.unpackbits(chosen.view(np.uint8), axis=1, bitorder="little")[:, : self.n]):
+            exact = np.int64 if self.small and most <= LARGEST else object
             rows = np.flatnonzero(rows)
             scores = self.values[rows].astype(exact) @ query.astype(exact)
             best = np.lexsort((self.ids[rows], -scores))[:k] if exact is np.int64 else np.array(sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k], int)  # noqa: B023
@@ -234,7 +237,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_modulus: int = 50, scale: int =
     n, asked = built.agg(F.count("*"), F.coalesce(F.sum(F.length("queries") / 4), F.lit(0))).first()
     row_cells, query_cells = max(1, -(-n // cell_blocks)), max(1, -(-int(asked) // cell_queries))
     row_cells = max(row_cells, min(n, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // query_cells)))
-    blocks = built.drop("queries").select("*", F.expr(f"pmod(xxhash64(block), {row_cells})").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(query_cells - 1))).alias("c"))
+    # r and c are int on both sides: cogroup does not cast, and an int and a long of one value are dealt to different tasks, so they never meet
+    blocks = built.drop("queries").select("*", F.expr(f"CAST(pmod(xxhash64(block), {row_cells}) AS INT)").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(query_cells - 1))).alias("c"))
     query_schema = pa.schema([("asker", pa.int64()), ("place", pa.int64()), ("query_id", pa.int64()), ("dims", pa.int32()), ("width", pa.int32()), ("query", pa.binary())])
 
     def ask(batches):
@@ -246,7 +250,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_modulus: int = 50, scale: int =
                 yield pa.RecordBatch.from_pylist(out, schema=query_schema)
 
     queries = built.where("length(queries) > 0").select("block", "dims", "ids", "width", "values", "queries").mapInArrow(ask, "asker long, place long, query_id long, dims int, width int, query binary")
-    queries = queries.select("*", F.expr(f"pmod(xxhash64(asker, place), {query_cells})").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(row_cells - 1))).alias("r"))
+    queries = queries.select("*", F.expr(f"CAST(pmod(xxhash64(asker, place), {query_cells}) AS INT)").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(row_cells - 1))).alias("r"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         by_dims: dict[int, list[dict]] = {}
